@@ -9,8 +9,8 @@ Only training is on a sample: at most `max_rows` labelled rows, those with the s
 their ids, so it is the same on every run. Everything else covers all rows. The model is a list
 of words with weights, bounded by what the sample holds.
 
-A word is a run of word characters in lower case, taken once a text. Null and empty texts have
-no words. Repeated labels of a document count once, at their maximum; null labels count as 0.
+Features are words (runs of word characters in lower case) and the first characters of longer
+words, each taken once a text. Null and empty texts have none. Repeated labels of a document count once, at their maximum; null labels count as 0.
 Without labels, or with labels of one kind only, a category's probability is its share (0
 without labels) for all. Null ids and repeated rows are scored like others.
 """
@@ -33,17 +33,25 @@ MAX_ROWS = 20_000
 #: A word enters a model if it is in so many training texts and its chi-squared value is so large.
 LEAST_TEXTS, LEAST_CHI2 = 3, 15.0
 RIDGE = 0.3
+#: Lengths of the word beginnings that count as features too.
+STEMS = (4, 5)
 REJECT = 0.5
 
 
+def features(text: str) -> set[str]:
+    """Distinct words and word beginnings."""
+    words = set(WORD.findall(text.lower()))
+    return words.union(*({"^" + w[:n] for w in words if len(w) > n} for n in STEMS))
+
+
 class Rows:
-    """Training texts as word numbers, row by row."""
+    """Training texts as feature numbers, row by row."""
 
     def __init__(self, texts: list[str]):
         index: dict[str, int] = {}
         cols, sizes = [], []
         for t in texts:
-            own = {index.setdefault(w, len(index)) for w in WORD.findall(t.lower())}
+            own = {index.setdefault(w, len(index)) for w in features(t)}
             cols.extend(own)
             sizes.append(len(own))
         self.words = list(index)
@@ -140,7 +148,7 @@ class Chain:
     def __call__(self, text: str) -> list[float]:
         """Probability of each category."""
         get = self.weights.get
-        found = [v for w in set(WORD.findall(text.lower())) if (v := get(w))]
+        found = [v for w in features(text) if (v := get(w))]
         odds: list[float] = []
         for k, link in enumerate(self.links):
             own = sum(v[k] for v in found) + sum(a * b for a, b in zip(link["before"], odds, strict=True)) + link["bias"]
