@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_tree, decontaminate, token_files, topk, toxicity, url_rules, word_pieces
+from . import bpe, chat_tree, decontaminate, repeats, token_files, topk, toxicity, url_rules, word_pieces
 
 QUERIES = {
     "op1_chat_format": chat_tree.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_topk": topk.op5_topk,
     "op6_token_counts": word_pieces.op6_token_counts,
     "op7_token_files": token_files.op7_token_files,
+    "op8_repeats": repeats.op8_repeats,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
