@@ -75,3 +75,36 @@ def spread(counts: np.ndarray) -> np.ndarray:
 def rows_of(batches, columns):
     """The rows of Arrow batches as tuples."""
     return itertools.chain.from_iterable(zip(*(b.column(c).to_pylist() for c in columns), strict=True) for b in batches)
+
+
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """node, label of all nodes of the edges (a, b): the smallest node that it is linked with, itself included.
+
+    Alternating large and small stars; every round is written to the shared folder, and two numbers decide whether it was the last.
+    """
+
+    def stars(e: DataFrame, small: bool) -> DataFrame:
+        if small:
+            near = e
+        else:
+            near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        met = near.join(least, "a")
+        if small:
+            out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        else:
+            out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return out.where("a <> b").distinct()
+
+    def state(e: DataFrame) -> tuple:
+        r = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
+        return r[0], r[1]
+
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = written(spark, e, "edges")
+    was, now = None, state(e)
+    while was != now:
+        e = written(spark, stars(stars(e, False), True), "edges")
+        was, now = now, state(e)
+    nodes = e.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

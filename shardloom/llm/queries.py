@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_tree, decontaminate, repeats, token_files, topk, toxicity, url_rules, word_pieces
+from . import bpe, chat_tree, decontaminate, near_join, repeats, token_files, topk, toxicity, url_rules, word_pieces
 
 QUERIES = {
     "op1_chat_format": chat_tree.op1_chat_format,
+    "op2_near_join": near_join.op2_near_join,
     "op3_bpe": bpe.op3_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_topk": topk.op5_topk,
