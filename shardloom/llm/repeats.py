@@ -30,6 +30,7 @@ texts are worked on in pieces.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -212,7 +213,7 @@ def _merged_by(h: np.ndarray, key: np.ndarray, pos: np.ndarray, weak: np.ndarray
     return shared, lead
 
 
-def _placed(buckets: int):
+def _placed(buckets: int, text: str):
     """Texts with their active places to contexts, whole windows of hot names, and what is settled here."""
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
@@ -255,7 +256,7 @@ def _placed(buckets: int):
                 order = np.arange(len(x))
                 for b, own in _dealt(order, _bucket(x["name"], buckets)):
                     k = np.repeat(begin[own], n[own]) + spread(n[own])
-                    rows.append((0, b, x[own].tobytes(), buffer[k].tobytes(), None))
+                    rows.append((0, b, x[own].tobytes(), zlib.compress(buffer[k].tobytes(), 1), None))
             if fine:
                 f = np.concatenate(fine)
                 same, lead = _merged_by(f["hash"], f["key"], f["pos"])
@@ -273,13 +274,13 @@ def _placed(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "bucket", "a", "b", "_key"])
 
         for batch in batches:
-            for key, text, places in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            for key, said, places in zip(batch.column("_key").to_pylist(), batch.column(text).to_pylist(), batch.column("places").to_pylist(), strict=True):
                 if key in seen:
                     continue
                 seen.add(key)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                data = text.encode("utf-8", "surrogatepass")
+                data = said.encode("utf-8", "surrogatepass")
                 own = np.concatenate([np.frombuffer(b, np.uint32) for b in places])
                 place = (own & ~_FLAG).astype(np.int64)
                 for start in range(0, len(data), PIECE):
@@ -315,7 +316,7 @@ def _starts(group: pa.Table) -> pa.Table:
         keys, spans = _spans_of(f["key"][same], f["pos"][same], f["pos"][same])
     else:
         x = np.concatenate([np.frombuffer(b, _HEAD) for b in group.column("a").to_pylist()])
-        data = np.frombuffer(b"".join(group.column("b").to_pylist()), np.uint8)
+        data = np.frombuffer(b"".join(map(zlib.decompress, group.column("b").to_pylist())), np.uint8)
         n = x["left"].astype(np.int64) + x["right"]
         begin = np.cumsum(n) - n
         order = np.argsort(x["name"], kind="stable")
@@ -358,7 +359,8 @@ def repeated(spark: SparkSession, docs: DataFrame, text: str = "text", hot: int
     rows = docs.withColumn(text, whole(text)).withColumn("_key", F.xxhash64(text))
     names = rows.select("_key", F.col(text).alias("text")).mapInArrow(_named(buckets), "bucket long, names binary")
     places = names.groupBy("bucket").applyInArrow(_active(hot), "_key long, places binary").groupBy("_key").agg(F.collect_list("places").alias("places"))
-    found = rows.join(places, "_key").select("_key", F.col(text).alias("text"), "places").mapInArrow(_placed(buckets), "kind long, bucket long, a binary, b binary, _key long")
+    # both joins with the texts take whole rows, so that their shuffle is one and the same
+    found = rows.join(places, "_key").mapInArrow(_placed(buckets, text), "kind long, bucket long, a binary, b binary, _key long")
     spans = found.groupBy("kind", "bucket").applyInArrow(_starts, "_key long, spans binary").groupBy("_key").agg(F.collect_list("spans").alias("_spans"))
     copies = rows.groupBy("_key").agg(F.count("*").alias("_copies")).where("_copies > 1")
     marks = spans.join(copies, "_key", "full")
