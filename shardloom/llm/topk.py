@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, ship, table, written
 
 CHUNK, BLOCK = 4096, 512
 _PACK = "dim int, part long, n int, ids binary, cells binary"
@@ -67,7 +67,7 @@ def _packed(rows: int):
 
 def packed(vectors: DataFrame, rows: int) -> DataFrame:
     fine = vectors.where("vec_id is not null and embedding is not null").where(~F.exists("embedding", lambda x: x.isNull()))
-    return fine.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_packed(rows), _PACK).withColumn("part", F.monotonically_increasing_id())
+    return fine.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(lean(_packed(rows)), _PACK).withColumn("part", F.monotonically_increasing_id())
 
 
 def _matrix(n, ids, cells, dim):
@@ -100,13 +100,13 @@ def _scores(k: int, lists: int, cut: bool):
                     take &= (total >= t[:, None]) & ~own
                 else:
                     for p in parts:
-                        p = np.where(own, np.iinfo(np.int64).min, p)
+                        p = np.where(own, np.iinfo(np.int64).min // 2, p)
                         if len(ids) > k:
                             np.put_along_axis(take, np.argpartition(-p, k - 1, axis=1)[:, :k], True, 1)
                         else:
                             take[:] = True
                     take &= ~own
-                    best = np.where(take, total, np.iinfo(np.int64).min)
+                    best = np.where(take, total, np.iinfo(np.int64).min // 2)
                     if len(ids) > k:  # of those gathered, the k best totals decide the cutoff
                         low = np.partition(best, len(ids) - k, axis=1)[:, len(ids) - k]
                         take &= best >= low[:, None]
@@ -128,6 +128,7 @@ def _cuts(batches):
 
 def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 4, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best of all vectors but its own id."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     x = written(spark, packed(vectors, chunk), "vectors")
     q = packed(queries, block).select("dim", F.col("part").alias("q_part"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
@@ -137,15 +138,15 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     pairs = written(spark, pairs, "pairs")
     spread = x.drop("dim").join(pairs, "part").join(q.drop("dim"), "q_part").repartition("part", "q_part")
     found = "query_id long, vec_id long, score long"
-    gathered = spread.mapInArrow(_scores(k, lists, False), found)
+    gathered = spread.mapInArrow(lean(_scores(k, lists, False)), found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     cut = gathered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("cut"))
     # cutoffs travel with the blocks of their queries, never all to everyone
-    where = q.mapInArrow(_members, "q_part long, query_id long")
+    where = q.mapInArrow(lean(_members), "q_part long, query_id long")
     grouped = where.join(cut, "query_id").groupBy("q_part").agg(F.collect_list(F.struct("query_id", "cut")).alias("cuts"))
-    cuts = written(spark, q.select("q_part", "q_ids").join(grouped, "q_part", "left").mapInArrow(_cuts, "q_part long, cut binary"), "cuts")
+    cuts = written(spark, q.select("q_part", "q_ids").join(grouped, "q_part", "left").mapInArrow(lean(_cuts), "q_part long, cut binary"), "cuts")
     spread = x.drop("dim").join(pairs, "part").join(q.drop("dim").join(cuts, "q_part"), "q_part").repartition("part", "q_part")
-    kept = spread.mapInArrow(_scores(k, lists, True), found)
+    kept = spread.mapInArrow(lean(_scores(k, lists, True)), found)
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
