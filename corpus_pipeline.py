@@ -33,9 +33,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and the text that they stand for."""
-    path = public("word_bpe_49k.json")
-    ids = bpe.encode(spark, docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return bpe.decode(spark, ids, path).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    out = bpe.encode_decode(spark, docs.select("doc_id", "lang", "source", "text"), public("word_bpe_49k.json"))
+    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decoded")
 
 
 STAGES = [("toxicity", reject_toxic), ("near_join", one_of_each), ("repeats", cut_repeats), ("decontaminate", drop_leaks), ("bpe", to_tokens)]

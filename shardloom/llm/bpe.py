@@ -17,7 +17,6 @@ import hashlib
 import heapq
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table, whole
-from .vocab import LETTERS, NUMBERS, SAFE, Memo, byte_chars, public
+from .common import bounded_batches, lean, table, whole
+from .vocab import LETTERS, NUMBERS, SAFE, Memo, byte_chars, kept, public
 
-_APART = "'s|'t|'re|'ve|'m|'ll|'d"
-_WORDS = re.compile(f"{_APART}|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+_WORDS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{LETTERS}{NUMBERS}]+")
 
 
 class Codec:
@@ -96,7 +94,7 @@ class Codec:
         return " ".join(map(self.strings.__getitem__, ids.tolist()))
 
 
-@lru_cache(2)
+@kept
 def codec(path: str) -> Codec:
     return Codec(path)
 
@@ -124,7 +122,7 @@ def encode(spark: SparkSession, df: DataFrame, path: str, text: str = "text", ou
         for b in batches:
             yield _put(b, out, _lists([own.encode(t or "") for t in b.column(text).to_pylist()]))
 
-    return df.mapInArrow(run, _with(df, out, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(lean(run), _with(df, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(spark: SparkSession, df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -136,7 +134,21 @@ def decode(spark: SparkSession, df: DataFrame, path: str, ids: str = "token_ids"
         for b in batches:
             yield _put(b, out, pa.array([None if x is None else own.decode(np.array(x, "<u4")) for x in b.column(ids).to_pylist()], pa.string()))
 
-    return df.mapInArrow(run, _with(df, out, T.StringType()))
+    return df.mapInArrow(lean(run), _with(df, out, T.StringType()))
+
+
+def encode_decode(spark: SparkSession, df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """encode() and decode() in one pass, which takes one Python worker where two passes take two."""
+    bounded_batches(spark)
+
+    def run(batches):
+        own = codec(path)
+        for b in batches:
+            found = [own.encode(t or "") for t in b.column(text).to_pylist()]
+            yield _put(_put(b, ids, _lists(found)), out, pa.array([own.decode(x) for x in found], pa.string()))
+
+    first = T.StructType([f for f in df.schema.fields if f.name.lower() not in (ids.lower(), out.lower())])
+    return df.mapInArrow(lean(run), first.add(ids, T.ArrayType(T.IntegerType())).add(out, T.StringType()))
 
 
 def round_trips(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
@@ -153,7 +165,7 @@ def round_trips(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
                 "decoded_sha256": [hashlib.sha256(own.decode(x).encode("utf-8")).hexdigest() for x in ids],
             })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, rows_of, shared_dir, table, written
+from .common import bounded_batches, lean, rows_of, shared_dir, table, written
 
 START, END = "<|im_start|>", "<|im_end|>"
 _BACK = {"\\": "\\", "|": "|", "n": "\n"}
@@ -98,7 +98,7 @@ def chained(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_chain, CHAIN)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(lean(_chain), CHAIN)
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -205,10 +205,10 @@ def chat_tree(spark: SparkSession, conversations: DataFrame) -> tuple[DataFrame,
     texts = chain.groupBy("node").agg(F.first("role").alias("role"), F.first("text").alias("text"))
     paths = chain.where("path is not null").groupBy("path").agg(F.first("lengths").alias("lengths"))
     paths = paths.repartitionByRange("path").sortWithinPartitions("path").checkpoint()
-    summaries = paths.mapInArrow(_summary, "pid long, first binary, first_n binary, last binary, starts binary, total long").collect()  # a row for each partition
+    summaries = paths.mapInArrow(lean(_summary), "pid long, first binary, first_n binary, last binary, starts binary, total long").collect()  # a row for each partition
     before = spark.sparkContext.broadcast(_before(summaries))
-    placed = paths.mapInArrow(_places(before), PLACED)
-    nodes = placed.join(texts, "node").mapInArrow(_rendered, f"{PLACED}, formatted string, loss_lo long, loss_hi long")
+    placed = paths.mapInArrow(lean(_places(before)), PLACED)
+    nodes = placed.join(texts, "node").mapInArrow(lean(_rendered), f"{PLACED}, formatted string, loss_lo long, loss_hi long")
     return nodes, chain.select("conv_id", "depth", "node")
 
 
@@ -242,7 +242,7 @@ def _read_back(batches):
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """What each conversation says, from the emitted nodes alone."""
     parts = members.join(nodes.select("node", "formatted", "loss_lo", "loss_hi"), "node").drop("node")
-    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "depth").mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "depth").mapInArrow(lean(_read_back), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"

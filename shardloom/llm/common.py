@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .vocab import only
+
 #: Rows and bytes that one Arrow batch hands to Python at most; texts may be long.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
@@ -18,12 +24,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run; once a context."""
+    root = Path(__file__).resolve().parents[1]
+    if getattr(spark.sparkContext, "_shardloom_sent", False) or not root.is_dir():
+        return
+    to = Path(tempfile.mkdtemp(prefix="shardloom-")) / "shardloom.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(to))
+    spark.sparkContext._shardloom_sent = True
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for texts of any length."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(f):
+    """f for mapInArrow, in a worker that keeps nothing of other operators before and gives memory back after."""
+
+    def run(batches):
+        only(f.__module__)
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def lean_group(f):
+    """The same for a group's function."""
+
+    def run(group):
+        only(f.__module__)
+        try:
+            return f(group)
+        finally:
+            _give_back()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only if the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)

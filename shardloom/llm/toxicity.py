@@ -19,17 +19,18 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, whole
+from .common import bounded_batches, lean, table, whole
 
 WORD = re.compile(r"\w+")
 FOLDS = 3
-MAX_ROWS = 20_000
+MAX_ROWS = 8_000
 #: A word enters a model if it is in so many training texts and its chi-squared value is so large.
 LEAST_TEXTS, LEAST_CHI2 = 3, 15.0
 RIDGE = 0.3
@@ -49,14 +50,19 @@ class Rows:
 
     def __init__(self, texts: list[str]):
         index: dict[str, int] = {}
-        cols, sizes = [], []
+        cols, sizes = array("i"), []
         for t in texts:
-            own = {index.setdefault(w, len(index)) for w in features(t)}
-            cols.extend(own)
+            own = features(t)
+            cols.extend([index.setdefault(w, len(index)) for w in own])
             sizes.append(len(own))
-        self.words = list(index)
-        self.col = np.array(cols, np.int64)
-        self.row = np.repeat(np.arange(len(texts)), sizes)
+        col = np.frombuffer(cols, np.int32) if len(cols) else np.zeros(0, np.int32)
+        # features of fewer texts than a model may use go at once; most are of one text
+        common = np.bincount(col, minlength=len(index)) >= LEAST_TEXTS
+        place = (np.cumsum(common) - 1).astype(np.int32)
+        keep = common[col]
+        self.words = [w for w, c in zip(index, common.tolist(), strict=True) if c]
+        self.col = place[col[keep]]
+        self.row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[keep]
         self.n = len(texts)
 
 
@@ -177,7 +183,7 @@ def fit_chain(spark: SparkSession, docs: DataFrame, labels: DataFrame, categorie
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # the bound of what is broadcast below
     rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id", "text").limit(max_rows)
-    found = rows.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "text").select("text", *(f"_y{k}" for k in range(len(names)))).mapInArrow(_trained(names, folds), "model string").collect()
+    found = rows.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "text").select("text", *(f"_y{k}" for k in range(len(names)))).mapInArrow(lean(_trained(names, folds)), "model string").collect()
     model = json.loads(found[0]["model"]) if found else {"links": [{"words": {}, "before": [0.0] * k, "bias": -20.0} for k in range(len(names))]}
     return model | {"names": names}
 
@@ -198,7 +204,7 @@ def score(spark: SparkSession, docs: DataFrame, model: dict, text: str = "text")
             keep = [b.column(f.name) for f in base]
             yield pa.RecordBatch.from_arrays([*keep, *(pa.array([x[k] for x in p], pa.float64()) for k in range(len(names)))], names=[*(f.name for f in base), *names])
 
-    return docs.mapInArrow(run, T.StructType([*base, *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return docs.mapInArrow(lean(run), T.StructType([*base, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 def categories() -> dict[str, Column]:

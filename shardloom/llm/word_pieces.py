@@ -13,14 +13,13 @@ empty result.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, whole
-from .vocab import Memo, public
+from .common import bounded_batches, lean, table, whole
+from .vocab import Memo, kept, public
 
 WORDS = re.compile(r"\w+|[^\w\s]")
 _DEAD = -1
@@ -77,7 +76,7 @@ class Automaton:
         return n if v == 1 else 0
 
 
-@lru_cache(2)
+@kept
 def from_sentence_pieces(path: str) -> Automaton:
     """Pieces that begin with the blank sign start words, the others continue them."""
     import sentencepiece
@@ -99,7 +98,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
             unknown = [x.count(0) for x in each]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_words": pa.array(map(len, each), pa.int64()), "n_tokens": pa.array([sum(x) + u for x, u in zip(each, unknown, strict=True)], pa.int64()), "n_unknown": pa.array(unknown, pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(lean(run), "doc_id long, n_words long, n_tokens long, n_unknown long")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
