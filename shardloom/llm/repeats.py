@@ -39,14 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, mixed, runs, spread, table, whole, width
+from .common import bounded_batches, lean, lean_group, mixed, runs, spread, table, whole, width
 
 WINDOW = 400
 V = 273
 #: Fixed: a perfect difference set modulo 273; every difference occurs once.
 D = np.array([1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256])
 TUPLE = WINDOW - V + 1
-HOT = 2048
+HOT = 4096
 PIECE = 1 << 20
 
 _NAME = np.dtype([("name", "<u4"), ("key", "<i8"), ("pos", "<u4")])
@@ -69,6 +69,26 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Rows column by column: the first column is random and stays, the others hold runs and small numbers."""
+    head, *rest = x.dtype.names
+    return len(x).to_bytes(4, "little") + x[head].tobytes() + zlib.compress(b"".join(x[n].tobytes() for n in rest), 1)
+
+
+def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    out = np.empty(n, kind)
+    head, *rest = kind.names
+    at = 4 + n * kind[head].itemsize
+    out[head] = np.frombuffer(data[4:at], kind[head])
+    more, at = zlib.decompress(data[at:]), 0
+    for name in rest:
+        size = n * kind[name].itemsize
+        out[name] = np.frombuffer(more[at : at + size], kind[name])
+        at += size
+    return out
+
+
 class Prints:
     """Fingerprints of stretches of a buffer."""
 
@@ -126,7 +146,7 @@ def _named(buckets: int):
         def sent():
             x, b = (np.concatenate([h[k] for h in held]) for k in (0, 1))
             parts = list(_dealt(x, b))
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([p[0] for p in parts], pa.int64()), "names": pa.array([p[1].tobytes() for p in parts], pa.binary())})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([p[0] for p in parts], pa.int64()), "names": pa.array([_pack(p[1]) for p in parts], pa.binary())})
 
         for batch in batches:
             for key, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -158,7 +178,7 @@ def _active(most: int):
     """The places of names that matter, by text; those of names with more than `most` places are flagged."""
 
     def run(group: pa.Table) -> pa.Table:
-        x = np.concatenate([np.frombuffer(b, _NAME) for b in group.column("names").to_pylist()])
+        x = np.concatenate([_unpack(b, _NAME) for b in group.column("names").to_pylist()])
         x = x[np.argsort(x["name"], kind="stable")]
         first, count = runs(x["name"])
         x = x[np.repeat(count > 1, count)]
@@ -256,13 +276,13 @@ def _placed(buckets: int, text: str):
                 order = np.arange(len(x))
                 for b, own in _dealt(order, _bucket(x["name"], buckets)):
                     k = np.repeat(begin[own], n[own]) + spread(n[own])
-                    rows.append((0, b, x[own].tobytes(), zlib.compress(buffer[k].tobytes(), 1), None))
+                    rows.append((0, b, _pack(x[own]), zlib.compress(buffer[k].tobytes(), 1), None))
             if fine:
                 f = np.concatenate(fine)
                 same, lead = _merged_by(f["hash"], f["key"], f["pos"])
                 settle(f["key"][same], f["pos"][same], f["pos"][same], rows)
                 f = f[lead]
-                rows.extend((1, b, own.tobytes(), None, None) for b, own in _dealt(f, _bucket(f["hash"], buckets)))
+                rows.extend((1, b, _pack(own), None, None) for b, own in _dealt(f, _bucket(f["hash"], buckets)))
             return rows
 
         def settle(key, lo, hi, rows):
@@ -311,11 +331,11 @@ def _starts(group: pa.Table) -> pa.Table:
         return pa.table({"_key": group.column("_key").cast(pa.int64()), "spans": group.column("a").cast(pa.binary())})
     keys, spans = [], []
     if kind == 1:
-        f = np.concatenate([np.frombuffer(b, _FINE) for b in group.column("a").to_pylist()])
+        f = np.concatenate([_unpack(b, _FINE) for b in group.column("a").to_pylist()])
         same, _ = _merged_by(f["hash"], f["key"], f["pos"])
         keys, spans = _spans_of(f["key"][same], f["pos"][same], f["pos"][same])
     else:
-        x = np.concatenate([np.frombuffer(b, _HEAD) for b in group.column("a").to_pylist()])
+        x = np.concatenate([_unpack(b, _HEAD) for b in group.column("a").to_pylist()])
         data = np.frombuffer(b"".join(map(zlib.decompress, group.column("b").to_pylist())), np.uint8)
         n = x["left"].astype(np.int64) + x["right"]
         begin = np.cumsum(n) - n
@@ -323,8 +343,8 @@ def _starts(group: pa.Table) -> pa.Table:
         first, count = runs(x["name"][order])
         order = order[np.repeat(count > 1, count)]
         first, count = runs(x["name"][order])
-        # whole groups of up to about 2 MB of contexts at a time
-        mark = np.cumsum(n[order])[first + count - 1] // (2 << 20) if len(first) else np.zeros(0, np.int64)
+        # whole groups of up to about half a MB of contexts at a time
+        mark = np.cumsum(n[order])[first + count - 1] // (1 << 19) if len(first) else np.zeros(0, np.int64)
         cut, many = runs(mark)
         for c, m in zip(cut.tolist(), many.tolist(), strict=True):
             own = order[first[c] : first[c + m - 1] + count[c + m - 1]]
@@ -357,11 +377,11 @@ def repeated(spark: SparkSession, docs: DataFrame, text: str = "text", hot: int
     bounded_batches(spark)
     buckets = width(spark)
     rows = docs.withColumn(text, whole(text)).withColumn("_key", F.xxhash64(text))
-    names = rows.select("_key", F.col(text).alias("text")).mapInArrow(_named(buckets), "bucket long, names binary")
-    places = names.groupBy("bucket").applyInArrow(_active(hot), "_key long, places binary").groupBy("_key").agg(F.collect_list("places").alias("places"))
+    names = rows.select("_key", F.col(text).alias("text")).mapInArrow(lean(_named(buckets)), "bucket long, names binary")
+    places = names.groupBy("bucket").applyInArrow(lean_group(_active(hot)), "_key long, places binary").groupBy("_key").agg(F.collect_list("places").alias("places"))
     # both joins with the texts take whole rows, so that their shuffle is one and the same
-    found = rows.join(places, "_key").mapInArrow(_placed(buckets, text), "kind long, bucket long, a binary, b binary, _key long")
-    spans = found.groupBy("kind", "bucket").applyInArrow(_starts, "_key long, spans binary").groupBy("_key").agg(F.collect_list("spans").alias("_spans"))
+    found = rows.join(places, "_key").mapInArrow(lean(_placed(buckets, text)), "kind long, bucket long, a binary, b binary, _key long")
+    spans = found.groupBy("kind", "bucket").applyInArrow(lean_group(_starts), "_key long, spans binary").groupBy("_key").agg(F.collect_list("spans").alias("_spans"))
     copies = rows.groupBy("_key").agg(F.count("*").alias("_copies")).where("_copies > 1")
     marks = spans.join(copies, "_key", "full")
     return rows.join(marks, "_key", "left")
@@ -418,9 +438,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, text: str = "text") ->
     """docs with the repeated stretches cut out of their texts; a null text becomes an empty one."""
     names = docs.columns
     kinds = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
-    return repeated(spark, docs, text).select(*names, "_copies", "_spans").mapInArrow(_cut(text, names), kinds)
+    return repeated(spark, docs, text).select(*names, "_copies", "_spans").mapInArrow(lean(_cut(text, names)), kinds)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return repeated(spark, docs).select("doc_id", "text", "_copies", "_spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated(spark, docs).select("doc_id", "text", "_copies", "_spans").mapInArrow(lean(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
