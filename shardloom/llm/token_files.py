@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from functools import lru_cache
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, rows_of, shared_dir, table, whole
-from .vocab import LETTERS, NUMBERS, SAFE, Memo, public
+from .common import bounded_batches, lean, rows_of, shared_dir, table, whole
+from .vocab import LETTERS, NUMBERS, SAFE, Memo, byte_chars, kept, public
 
 #: Fixed by the coding: ids in a word and bits of each, by selector; 0 is the escape.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -37,28 +37,36 @@ END = 2
 
 SCHEMA = "part long, block long, first long, n_ids long, doc_ids array<long>, counts array<long>, words binary, offsets binary"
 
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+")
+#: The alternatives that most pieces take stand first; no two of the first three can begin alike.
+_PIECES = re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+")
+_ASCII = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 
 
 def packed(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words of unsigned 64-bit ids; each word takes as many as it can."""
     n = len(ids)
-    ids = ids.astype(np.uint64)
     if not n:
         return np.zeros(0, np.uint64)
-    best = np.zeros(n, np.int8)
-    least = int(ids.min())
-    for s in range(15, 0, -1):
-        if s < 15 and least >> int(BITS[s]):
-            break  # narrower still: no id fits
-        wide = np.concatenate([[0], np.cumsum(ids >= np.uint64(1 << int(BITS[s])), dtype=np.int32)])
-        ends = np.minimum(np.arange(n) + COUNTS[s], n)
-        best[wide[ends] == wide[:-1]] = s
-    step = COUNTS[best].tolist()
+    high = int(ids.max()).bit_length()
+    top = min((k for k in range(1, 16) if BITS[k] >= high), default=15)  # all fit at this width
+    best = np.full(n, top, np.int8)
+    if high > 60:
+        best[ids >= 1 << 60] = 0
+    fits = best > 0
+    for s in range(top - 1, 0, -1):  # a narrower selector fits only where the next wider one does
+        wide = np.zeros(n + COUNTS[s] + 1, np.int32)
+        np.cumsum(ids >= 1 << int(BITS[s]), dtype=np.int32, out=wide[1 : n + 1])
+        wide[n + 1 :] = wide[n]
+        fits &= wide[COUNTS[s] : n + COUNTS[s]] == wide[:n]
+        if not fits.any():
+            break
+        best[fits] = s
+    step = COUNTS.astype(np.uint8)[best].tobytes()
     at, i = [], 0
     while i < n:
         at.append(i)
         i += step[i]
+    ids = ids.astype(np.uint64)
     at = np.array(at)
     sel = best[at]
     room = 1 + (sel == 0)
@@ -120,7 +128,7 @@ def unpacked(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """The library's ids; pieces of common characters are looked up once."""
+    """The library's ids; a text of common characters is split here and each piece goes through the library's model once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -129,15 +137,25 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = Memo(lambda p: np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes())
+        self.chars = byte_chars()
+        self.ascii = {b: c for b, c in enumerate(self.chars[:128])}
+        self.pieces = Memo(self._piece, most=1_200_000)
 
-    def __call__(self, text: str) -> np.ndarray:
+    def _piece(self, piece: str) -> bytes:
+        shown = piece.translate(self.ascii) if piece.isascii() else "".join([self.chars[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.library.model.tokenize(shown)]).tobytes()
+
+    def coded(self, text: str) -> bytes:
+        """The text's ids, four bytes each."""
         if SAFE.fullmatch(text) and not any(s in text for s in self.special):
-            return np.frombuffer(b"".join(map(self.pieces.__getitem__, _PIECES.findall(text))), "<u4")
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+            return b"".join(map(self.pieces.__getitem__, (_ASCII if text.isascii() else _PIECES).findall(text)))
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __call__(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.coded(text), "<u4")
 
 
-@lru_cache(2)
+@kept
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -148,14 +166,15 @@ def _blocks(path: str, end: int):
         docs, lists, n = [], [], 0
 
         def row():
-            ids = np.concatenate(lists)
+            ids = np.frombuffer(b"".join(lists), "<u4")
             words = packed(ids)
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block]), pa.array([first]), pa.array([len(ids)]), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) for x in lists]], pa.list_(pa.int64())), pa.array([words.tobytes()]), pa.array([offsets(words, len(ids)).tobytes()])], names=["part", "block", "first", "n_ids", "doc_ids", "counts", "words", "offsets"])
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block]), pa.array([first]), pa.array([len(ids)]), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in lists]], pa.list_(pa.int64())), pa.array([words.tobytes()]), pa.array([offsets(words, len(ids)).tobytes()])], names=["part", "block", "first", "n_ids", "doc_ids", "counts", "words", "offsets"])
 
+        tail = np.array([end], "<u4").tobytes()
         for doc, text in rows_of(batches, ("doc_id", "text")):
             docs.append(doc)
-            lists.append(np.append(own(text), np.uint32(end)))
-            n += len(lists[-1])
+            lists.append(own.coded(text) + tail)
+            n += len(lists[-1]) // 4
             if n >= BLOCK_IDS:
                 yield row()
                 block, first = block + 1, first + n
@@ -170,7 +189,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, to: str,
     """Encode all texts and write their ids, each document's followed by `end`, in order of doc_id."""
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie").mapInArrow(_blocks(tokenizer, end), SCHEMA).write.parquet(to)
+    rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie").mapInArrow(lean(_blocks(tokenizer, end)), SCHEMA).write.parquet(to)
 
 
 def _checked(batches):
@@ -192,7 +211,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     totals = sorted(files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # one row for each range of documents
     before = np.cumsum([0, *(r["n"] for r in totals)]).tolist()
     base = spark.createDataFrame([(r["part"], b) for r, b in zip(totals, before, strict=False)], "part long, base long")
-    docs = files.mapInArrow(_checked, "part long, doc_id long, place long, n_tokens long, ids_crc32 long")
+    docs = files.mapInArrow(lean(_checked), "part long, doc_id long, place long, n_tokens long, ids_crc32 long")
     return docs.join(base, "part").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -206,7 +225,7 @@ def _spans(batches):
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and its ids, the end id included."""
-    return spark.read.schema(SCHEMA).parquet(path).mapInArrow(_spans, "doc_id long, token_ids array<long>")
+    return spark.read.schema(SCHEMA).parquet(path).mapInArrow(lean(_spans), "doc_id long, token_ids array<long>")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
