@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, mixed, rows_of, runs, table, whole, written
+from .common import bounded_batches, components, lean, mixed, rows_of, runs, table, whole, written
 from .vocab import Memo
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.995
@@ -206,7 +206,7 @@ def _verified(threshold: float, depth: int, n: int):
 
 def _linked(spark: SparkSession, rows: DataFrame, depth: int, threshold: float, n: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(signed documents, links of classes by block) with prefixes of one length."""
-    signed = written(spark, rows.mapInArrow(_signed(depth, n), "doc_id long, _text long, class binary, keys array<long>"), "signed")
+    signed = written(spark, rows.mapInArrow(lean(_signed(depth, n)), "doc_id long, _text long, class binary, keys array<long>"), "signed")
     classes = signed.where("class is not null").groupBy("class").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "_text")).alias("one"), F.first("keys").alias("keys"))
     each = classes.select("class", F.posexplode("keys").alias("tree", "key"))
     groups = each.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("of")).where("n > 1")
@@ -217,14 +217,15 @@ def _linked(spark: SparkSession, rows: DataFrame, depth: int, threshold: float,
     filled = member.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("tree", "group"))).alias("by"))
     filled = filled.select("class", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("by", t), F.lit(0).cast("long"))).alias("groups"))
     one = classes.join(filled, "class").select("class", "times", "groups", "one.doc_id", "one._text")
-    texts = rows.withColumnRenamed("doc_id", "_id").join(one.withColumnRenamed("_text", "_t"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_text") == F.col("_t")))
+    # they grow with the documents, so they are never broadcast, however few they are
+    texts = rows.withColumnRenamed("doc_id", "_id").join(one.withColumnRenamed("_text", "_t").hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_text") == F.col("_t")))
     texts = texts.groupBy("class").agg(F.first("times").alias("times"), F.first("groups").alias("groups"), F.first("text").alias("text"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     placed = member.dropDuplicates(["class", "group"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("class", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     work = pairs.join(texts, "class").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-    return signed, written(spark, work.mapInArrow(_verified(threshold, depth, n), _LINKED), "links")
+    return signed, written(spark, work.mapInArrow(lean(_verified(threshold, depth, n)), _LINKED), "links")
 
 
 def near_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, block: int = BLOCK) -> DataFrame:
