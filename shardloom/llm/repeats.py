@@ -188,8 +188,8 @@ def _active(most: int):
         first, count = runs(x["name"])
         if len(first):
             residue = x["pos"] % V
-            least, most = np.minimum.reduceat(residue, first), np.maximum.reduceat(residue, first)
-            keep = (count > 1) & ((least != most) | (least == D[0]))
+            least, last = np.minimum.reduceat(residue, first), np.maximum.reduceat(residue, first)
+            keep = (count > 1) & ((least != last) | (least == D[0]))
             hot = np.repeat(keep & (count > most), count)
             x["pos"][hot] |= _FLAG
             x = x[np.repeat(keep, count)]
