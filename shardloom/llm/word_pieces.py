@@ -5,6 +5,10 @@ node knows where to go on when no child fits (its failure link) and how many pie
 on the way, so the greedy longest-match length of a word is one pass over its characters, and
 no piece is ever built. A word that cannot be spelled counts as one unknown piece.
 
+A word that no starting piece fits begins with the bare blank piece and goes on with
+continuations, and a character without any piece is spelled by byte pieces, so only what the file
+cannot spell is unknown. Both are left out unless asked for (`spell`), as op6 does.
+
 Words are runs of word characters; every other character that is not white space is a word.
 Null texts are empty and count 0. Texts and words may be of any length. An empty table gives an
 empty result.
@@ -26,11 +30,16 @@ _DEAD = -1
 
 
 class Automaton:
-    """starts, inner: the pieces that can begin a word and those that can continue one."""
+    """starts, inner: the pieces that can begin a word and those that can continue one.
+
+    blank: pieces of the bare blank, with which any word can begin; 0 if there are none.
+    spelled: pieces of a character where no other piece fits; 0 if it has none.
+    """
 
-    def __init__(self, starts, inner):
+    def __init__(self, starts, inner, blank: int = 0, spelled=lambda c: 0):
         self.child: dict[tuple[int, str], int] = {}
-        self.link, self.pops = [_DEAD, _DEAD], [0, 0]  # of the roots: 0 for starts, 1 for continuations
+        self.link, self.pops = [1 if blank else _DEAD, _DEAD], [blank, 0]  # of the roots: 0 for starts, 1 for continuations
+        self.spelled = spelled
         self.counts = Memo(self._count)
         ends, order, parent = set(), [], []
         for root, pieces in ((0, starts), (1, inner)):
@@ -52,11 +61,14 @@ class Automaton:
             if v in ends:
                 self.link[v], self.pops[v] = 1, 1
                 continue
-            z, n = self.link[u], self.pops[u]
-            while z != _DEAD and (z, c) not in self.child:
+            z, n = u, 0
+            while z not in (_DEAD, 1) and (z == u or (z, c) not in self.child):
                 n += self.pops[z]
                 z = self.link[z]
-            if z != _DEAD:
+            if z == 1 and (u == 1 or (z, c) not in self.child):
+                if k := spelled(c):
+                    self.link[v], self.pops[v] = 1, n + k
+            elif z != _DEAD:
                 self.link[v], self.pops[v] = self.child[z, c], n
 
     def _count(self, word: str) -> int:
@@ -65,6 +77,9 @@ class Automaton:
         child, link, pops = self.child, self.link, self.pops
         for c in word:
             while (w := child.get((v, c))) is None:
+                if v == 1 and (k := self.spelled(c)):
+                    n, w = n + k, 1
+                    break
                 n += pops[v]
                 v = link[v]
                 if v == _DEAD:
@@ -77,22 +92,32 @@ class Automaton:
 
 
 @kept
-def from_sentence_pieces(path: str) -> Automaton:
-    """Pieces that begin with the blank sign start words, the others continue them."""
+def from_sentence_pieces(path: str, spell: bool = False) -> Automaton:
+    """Pieces that begin with the blank sign start words, the others continue them; spell: the bare blank and byte pieces stand in where none fits."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
+    ids = range(model.get_piece_size())
+    names = [model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
     blank = "▁"
-    return Automaton({p[1:] for p in names if p[0] == blank and len(p) > 1 and blank not in p[1:]}, {p for p in names if blank not in p})
+    if not spell:
+        return Automaton({p[1:] for p in names if p[0] == blank and len(p) > 1 and blank not in p[1:]}, {p for p in names if blank not in p})
+    raw = {int(model.id_to_piece(i)[3:-1], 16) for i in ids if model.is_byte(i)}
+
+    def spelled(c: str) -> int:
+        data = c.encode("utf-8", "surrogatepass")
+        return len(data) if raw.issuperset(data) else 0
+
+    # the blank sign itself is never part of a longer word
+    return Automaton({p[1:] for p in names if p[0] == blank and len(p) > 1}, {p for p in names if blank not in p or p == blank}, 1 if blank in names else spelled(blank), spelled)
 
 
-def token_counts(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
+def token_counts(spark: SparkSession, docs: DataFrame, path: str, spell: bool = False) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown; n_tokens counts each unknown word as one."""
     bounded_batches(spark)
 
     def run(batches):
-        counts = from_sentence_pieces(path).counts
+        counts = from_sentence_pieces(path, spell).counts
         for b in batches:
             each = [[counts[w] for w in WORDS.findall(t)] for t in b.column("text").to_pylist()]
             unknown = [x.count(0) for x in each]
@@ -102,4 +127,4 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(spark, table(spark, sf_dir, "documents"), public("piece_bpe_32k.model"))
+    return token_counts(spark, table(spark, sf_dir, "documents"), public("piece_bpe_32k.model"), spell=True)

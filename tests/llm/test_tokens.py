@@ -145,3 +145,44 @@ def test_token_counts(spark, texts):
         each = [greedy(w, starts, inner) for w in word_pieces.WORDS.findall((texts[:60] + [""])[r.doc_id])]
         assert (r.n_words, r.n_tokens, r.n_unknown) == (len(each), sum(max(1, n) for n in each), each.count(0))
     assert word_pieces.token_counts(spark, df.limit(0), path).count() == 0
+
+
+def spelled_out(word, pieces, raw):
+    """Plain greedy longest match over the whole list; bytes where nothing fits."""
+    word = "▁" + word
+    i = n = 0
+    while i < len(word):
+        j = next((j for j in range(min(len(word), i + 64), i, -1) if word[i:j] in pieces), None)
+        if j is None and not raw.issuperset(word[i].encode()):
+            return 0
+        n += 1 if j else len(word[i].encode())
+        i = j or i + 1
+    return n
+
+
+def test_automaton_spells_whole_vocabularies():
+    rng = random.Random(6)
+    for _ in range(3000):
+        pieces = {rng.choice(["", "▁"]) + "".join(rng.choices("abcé", k=rng.randrange(1, 5))) for _ in range(8)} | set(rng.choice(["", "▁"]))
+        raw = set(rng.choice([b"", b"abc", "▁é".encode(), "▁abcé".encode()]))
+        byte = lambda c, raw=raw: len(c.encode()) if raw.issuperset(c.encode()) else 0
+        own = word_pieces.Automaton({p[1:] for p in pieces if p[0] == "▁" and len(p) > 1}, {p for p in pieces if p[0] != "▁"}, 1 if "▁" in pieces else byte("▁"), byte)
+        for _ in range(5):
+            word = "".join(rng.choices("abcé", k=rng.randrange(1, 12)))
+            assert own._count(word) == spelled_out(word, pieces, raw), (word, pieces, raw)
+
+
+def test_op6_counts_every_piece_of_spellable_words(spark, texts, tmp_path):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public("piece_bpe_32k.model"))
+    ids = range(model.get_piece_size())
+    pieces = {model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
+    raw = {int(model.id_to_piece(i)[3:-1], 16) for i in ids if model.is_byte(i)}
+    said = ["ñmente", "日本語テキスト" * 9, "🙂", "▁", "\U00012000\U00012001", *texts[:60], None]
+    spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in word_pieces.op6_token_counts(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(said):
+        each = [spelled_out(w, pieces, raw) for w in word_pieces.WORDS.findall(t or "")]
+        assert got[i] == (len(each), sum(max(1, n) for n in each), each.count(0)), t
+    assert got[0] == (1, 3, 0) and got[1][1] > 63 and got[4][1:] == (9, 0)
