@@ -22,8 +22,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur more than once are cut out of the texts; every document stays, n_chars follows."""
-    return repeats.without_repeats(spark, docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Passages of over 50 words or of 400 bytes that occur more than once are cut out of the texts; every document stays, n_chars follows."""
+    return repeats.without_repeats(spark, docs, covers=(repeats.BYTES, repeats.WORDS)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,13 +25,19 @@ Exact copies need no search: a text that occurs twice goes as a whole if it has
 and counts once as a partner of others. Null texts are empty; texts shorter than WINDOW keep
 all. Text is held as UTF-8 bytes; repeated ids and null ids are documents like others. Long
 texts are worked on in pieces.
+
+The same works over words (runs between white space, each known by a 64-bit hash) in place of
+bytes: a Cover says which, and how long a window is. WORDS finds passages of over 50 words however
+few bytes they have; bytes find long strings of few words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, lean, lean_group, mixed, runs, spread, table, whole, width
+from .vocab import Memo
 
 WINDOW = 400
 V = 273
@@ -57,6 +64,42 @@ _FLAG = np.uint32(1 << 31)
 _BASE = 0x5851F42D4C957F2D
 
 
+_WORD = Memo(lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+_RUN = re.compile(r"\S+")
+
+
+class Cover(NamedTuple):
+    """What windows are made of, their length, and the difference cover: every difference modulo the period is one of two residues."""
+
+    word: bool
+    window: int
+    period: int
+    residues: tuple
+    piece: int
+
+    @property
+    def tuple(self) -> int:
+        return self.window - self.period + 1
+
+    def units(self, text: str) -> np.ndarray:
+        if not self.word:
+            return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        words = text.split()
+        return np.fromiter(map(_WORD.__getitem__, words), np.uint64, len(words))
+
+    def sampled(self, n: int, end: int, start: int = 0) -> np.ndarray:
+        """Sampled positions in [start, end) at which a tuple fits into n units."""
+        end = min(end, n - self.tuple + 1)
+        first, v = start // self.period, self.period
+        at = ((np.arange(first, max(first, -(-end // v))) * v)[:, None] + np.array(self.residues)).ravel()
+        return at[(at >= start) & (at < end)]
+
+
+BYTES = Cover(False, WINDOW, V, tuple(D.tolist()), PIECE)
+#: Fixed: a perfect difference set modulo 31.
+WORDS = Cover(True, 51, 31, (0, 1, 3, 8, 12, 18), PIECE >> 2)
+
+
 @lru_cache(1)
 def _bytes() -> np.ndarray:
     return np.random.default_rng(20).integers(1, 2**64, 256, dtype=np.uint64)
@@ -89,27 +132,34 @@ def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
+def _shut(x: np.ndarray) -> bytes:
+    """Bytes, or words as places in a list of those that occur."""
+    if x.dtype == np.uint8:
+        return zlib.compress(x.tobytes(), 1)
+    each, at = np.unique(x, return_inverse=True)
+    return len(each).to_bytes(4, "little") + each.tobytes() + zlib.compress(at.astype("<u4").tobytes(), 1)
+
+
+def _opened(data: bytes, word: bool) -> np.ndarray:
+    if not word:
+        return np.frombuffer(zlib.decompress(data), np.uint8)
+    end = 4 + 8 * int.from_bytes(data[:4], "little")
+    return np.frombuffer(data[4:end], np.uint64)[np.frombuffer(zlib.decompress(data[end:]), "<u4")]
+
+
 class Prints:
-    """Fingerprints of stretches of a buffer."""
+    """Fingerprints of stretches of a buffer of bytes or words."""
 
     def __init__(self, buffer: np.ndarray):
         size = 1 << max(16, len(buffer).bit_length())
         self.back = _powers(size, pow(_BASE, -1, 1 << 64))
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(_bytes()[buffer] * _powers(size, _BASE)[: len(buffer)], out=self.sums[1:])
+        np.cumsum((_bytes()[buffer] if buffer.dtype == np.uint8 else buffer) * _powers(size, _BASE)[: len(buffer)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, n) -> np.ndarray:
         return mixed((self.sums[start + n] - self.sums[start]) * self.back[start])
 
 
-def _sampled(n: int, end: int, start: int = 0) -> np.ndarray:
-    """Sampled positions in [start, end) at which a tuple fits into n bytes."""
-    end = min(end, n - TUPLE + 1)
-    first = start // V
-    at = ((np.arange(first, max(first, -(-end // V))) * V)[:, None] + D).ravel()
-    return at[(at >= start) & (at < end)]
-
-
 def _dealt(x: np.ndarray, bucket: np.ndarray):
     """The rows of x by bucket."""
     order = np.argsort(bucket, kind="stable")
@@ -122,7 +172,7 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _named(buckets: int):
+def _named(buckets: int, cover: Cover):
     """Texts to packed names of their sampled tuples."""
 
     def run(batches):
@@ -132,11 +182,11 @@ def _named(buckets: int):
         def hashed():
             nonlocal pieces, size
             base, out = 0, []
-            buffer = np.frombuffer(b"".join(p[0] for p in pieces), np.uint8)
+            buffer = np.concatenate([p[0] for p in pieces])
             prints = Prints(buffer)
             for data, key, start, at in pieces:
                 x = np.empty(len(at), _NAME)
-                h = prints(at - start + base, TUPLE)
+                h = prints(at - start + base, cover.tuple)
                 x["name"], x["key"], x["pos"] = h & np.uint64(0xFFFFFFFF), key, at
                 out.append((x, _bucket(h, buckets)))
                 base += len(data)
@@ -150,16 +200,16 @@ def _named(buckets: int):
 
         for batch in batches:
             for key, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                if len(data) < WINDOW:
+                data = cover.units(text)
+                if len(data) < cover.window:
                     continue
-                for start in range(0, len(data), PIECE):
-                    at = _sampled(len(data), start + PIECE, start)
+                for start in range(0, len(data), cover.piece):
+                    at = cover.sampled(len(data), start + cover.piece, start)
                     if len(at):
-                        piece = data[start : start + PIECE + TUPLE]
+                        piece = data[start : start + cover.piece + cover.tuple]
                         pieces.append((piece, key, start, at))
                         size += len(piece)
-                    if size >= PIECE:
+                    if size >= cover.piece:
                         new = hashed()
                         held += new
                         rows += sum(len(h[0]) for h in new)
@@ -174,7 +224,7 @@ def _named(buckets: int):
     return run
 
 
-def _active(most: int):
+def _active(most: int, cover: Cover):
     """The places of names that matter, by text; those of names with more than `most` places are flagged."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -187,9 +237,9 @@ def _active(most: int):
             x = x[np.concatenate([[True], x[1:] != x[:-1]])]
         first, count = runs(x["name"])
         if len(first):
-            residue = x["pos"] % V
+            residue = x["pos"] % cover.period
             least, last = np.minimum.reduceat(residue, first), np.maximum.reduceat(residue, first)
-            keep = (count > 1) & ((least != last) | (least == D[0]))
+            keep = (count > 1) & ((least != last) | (least == cover.residues[0]))
             hot = np.repeat(keep & (count > most), count)
             x["pos"][hot] |= _FLAG
             x = x[np.repeat(keep, count)]
@@ -233,7 +283,7 @@ def _merged_by(h: np.ndarray, key: np.ndarray, pos: np.ndarray, weak: np.ndarray
     return shared, lead
 
 
-def _placed(buckets: int, text: str):
+def _placed(buckets: int, text: str, cover: Cover):
     """Texts with their active places to contexts, whole windows of hot names, and what is settled here."""
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
@@ -244,14 +294,14 @@ def _placed(buckets: int, text: str):
         size = 0
 
         def worked():
-            buffer = np.frombuffer(b"".join(d[1] for d in docs), np.uint8)
+            buffer = np.concatenate([d[1] for d in docs])
             prints = Prints(buffer)
             base, heads, at, fine = 0, [], [], []
             for key, data, start, total, places in docs:
                 hot = places & _FLAG > 0
                 p = np.sort((places & ~_FLAG)[~hot]).astype(np.int64)
-                left, right = np.minimum(p, V - 1), np.minimum(total - p, WINDOW)
-                fits = left + right >= WINDOW
+                left, right = np.minimum(p, cover.period - 1), np.minimum(total - p, cover.window)
+                fits = left + right >= cover.window
                 p, left, right = p[fits], left[fits], right[fits]
                 x = np.empty(len(p), _HEAD)
                 x["key"], x["pos"], x["left"], x["right"] = key, p, left, right
@@ -259,24 +309,24 @@ def _placed(buckets: int, text: str):
                 at.append(p - start + base)
                 q = np.sort((places & ~_FLAG)[hot]).astype(np.int64)
                 if len(q):  # every start whose window holds a hot place
-                    q = np.unique((q[:, None] - np.arange(V)).ravel())
-                    q = q[(q >= 0) & (q <= total - WINDOW)]
+                    q = np.unique((q[:, None] - np.arange(cover.period)).ravel())
+                    q = q[(q >= 0) & (q <= total - cover.window)]
                     f = np.empty(len(q), _FINE)
-                    f["hash"], f["key"], f["pos"] = prints(q - start + base, WINDOW), key, q
+                    f["hash"], f["key"], f["pos"] = prints(q - start + base, cover.window), key, q
                     fine.append(f)
                 base += len(data)
             x, at = np.concatenate(heads), np.concatenate(at)
             rows = []
             if len(x):
-                x["name"] = prints(at, TUPLE)
+                x["name"] = prints(at, cover.tuple)
                 begin, n = at - x["left"], x["left"].astype(np.int64) + x["right"]
                 same, lead = _merged_by(mixed(prints(begin, n) + x["left"]) + n.astype(np.uint64), x["key"], x["pos"])
-                settle(x["key"][same], (x["pos"].astype(np.int64) - x["left"])[same], (x["pos"].astype(np.int64) + x["right"] - WINDOW)[same], rows)
+                settle(x["key"][same], (x["pos"].astype(np.int64) - x["left"])[same], (x["pos"].astype(np.int64) + x["right"] - cover.window)[same], rows)
                 x, begin, n = x[lead], begin[lead], n[lead]
                 order = np.arange(len(x))
                 for b, own in _dealt(order, _bucket(x["name"], buckets)):
                     k = np.repeat(begin[own], n[own]) + spread(n[own])
-                    rows.append((0, b, _pack(x[own]), zlib.compress(buffer[k].tobytes(), 1), None))
+                    rows.append((0, b, _pack(x[own]), _shut(buffer[k]), None))
             if fine:
                 f = np.concatenate(fine)
                 same, lead = _merged_by(f["hash"], f["key"], f["pos"])
@@ -300,17 +350,17 @@ def _placed(buckets: int, text: str):
                 seen.add(key)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                data = said.encode("utf-8", "surrogatepass")
+                data = cover.units(said)
                 own = np.concatenate([np.frombuffer(b, np.uint32) for b in places])
                 place = (own & ~_FLAG).astype(np.int64)
-                for start in range(0, len(data), PIECE):
-                    part = own[(place >= start) & (place < start + PIECE)]
+                for start in range(0, len(data), cover.piece):
+                    part = own[(place >= start) & (place < start + cover.piece)]
                     if len(part):
-                        lo = max(0, start - V)
-                        piece = data[lo : start + PIECE + WINDOW]
+                        lo = max(0, start - cover.period)
+                        piece = data[lo : start + cover.piece + cover.window]
                         docs.append((key, piece, lo, len(data), part))
                         size += len(piece)
-                    if size >= PIECE:
+                    if size >= cover.piece:
                         out += worked()
                         docs, size = [], 0
                         if out:
@@ -324,42 +374,46 @@ def _placed(buckets: int, text: str):
     return run
 
 
-def _starts(group: pa.Table) -> pa.Table:
+def _starts(cover: Cover):
     """Starts whose windows occur elsewhere, from one bucket of contexts, of windows, or of what is settled."""
-    kind = group.column("kind")[0].as_py()
-    if kind == 2:
-        return pa.table({"_key": group.column("_key").cast(pa.int64()), "spans": group.column("a").cast(pa.binary())})
-    keys, spans = [], []
-    if kind == 1:
-        f = np.concatenate([_unpack(b, _FINE) for b in group.column("a").to_pylist()])
-        same, _ = _merged_by(f["hash"], f["key"], f["pos"])
-        keys, spans = _spans_of(f["key"][same], f["pos"][same], f["pos"][same])
-    else:
-        x = np.concatenate([_unpack(b, _HEAD) for b in group.column("a").to_pylist()])
-        data = np.frombuffer(b"".join(map(zlib.decompress, group.column("b").to_pylist())), np.uint8)
-        n = x["left"].astype(np.int64) + x["right"]
-        begin = np.cumsum(n) - n
-        order = np.argsort(x["name"], kind="stable")
-        first, count = runs(x["name"][order])
-        order = order[np.repeat(count > 1, count)]
-        first, count = runs(x["name"][order])
-        # whole groups of up to about half a MB of contexts at a time
-        mark = np.cumsum(n[order])[first + count - 1] // (1 << 19) if len(first) else np.zeros(0, np.int64)
-        cut, many = runs(mark)
-        for c, m in zip(cut.tolist(), many.tolist(), strict=True):
-            own = order[first[c] : first[c + m - 1] + count[c + m - 1]]
-            y, size = x[own], n[own]
-            buffer = data[np.repeat(begin[own], size) + spread(size)]
-            base = np.cumsum(size) - size
-            windows = size - WINDOW + 1
-            at = np.repeat(base, windows) + spread(windows)
-            key = np.repeat(y["key"], windows)
-            pos = np.repeat(y["pos"].astype(np.int64) - y["left"], windows) + spread(windows)
-            same, _ = _merged_by(Prints(buffer)(at, WINDOW), key, pos)
-            k, s = _spans_of(*_ranges(key[same], pos[same]))
-            keys += k
-            spans += s
-    return pa.table({"_key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
+
+    def run(group: pa.Table) -> pa.Table:
+        kind = group.column("kind")[0].as_py()
+        if kind == 2:
+            return pa.table({"_key": group.column("_key").cast(pa.int64()), "spans": group.column("a").cast(pa.binary())})
+        keys, spans = [], []
+        if kind == 1:
+            f = np.concatenate([_unpack(b, _FINE) for b in group.column("a").to_pylist()])
+            same, _ = _merged_by(f["hash"], f["key"], f["pos"])
+            keys, spans = _spans_of(f["key"][same], f["pos"][same], f["pos"][same])
+        else:
+            x = np.concatenate([_unpack(b, _HEAD) for b in group.column("a").to_pylist()])
+            data = np.concatenate([_opened(b, cover.word) for b in group.column("b").to_pylist()])
+            n = x["left"].astype(np.int64) + x["right"]
+            begin = np.cumsum(n) - n
+            order = np.argsort(x["name"], kind="stable")
+            first, count = runs(x["name"][order])
+            order = order[np.repeat(count > 1, count)]
+            first, count = runs(x["name"][order])
+            # whole groups of up to about half a million units of contexts at a time
+            mark = np.cumsum(n[order])[first + count - 1] // (1 << 19) if len(first) else np.zeros(0, np.int64)
+            cut, many = runs(mark)
+            for c, m in zip(cut.tolist(), many.tolist(), strict=True):
+                own = order[first[c] : first[c + m - 1] + count[c + m - 1]]
+                y, size = x[own], n[own]
+                buffer = data[np.repeat(begin[own], size) + spread(size)]
+                base = np.cumsum(size) - size
+                windows = size - cover.window + 1
+                at = np.repeat(base, windows) + spread(windows)
+                key = np.repeat(y["key"], windows)
+                pos = np.repeat(y["pos"].astype(np.int64) - y["left"], windows) + spread(windows)
+                same, _ = _merged_by(Prints(buffer)(at, cover.window), key, pos)
+                k, s = _spans_of(*_ranges(key[same], pos[same]))
+                keys += k
+                spans += s
+        return pa.table({"_key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
+
+    return run
 
 
 def _ranges(key: np.ndarray, pos: np.ndarray):
@@ -372,31 +426,36 @@ def _ranges(key: np.ndarray, pos: np.ndarray):
     return key[first], pos[first], pos[last]
 
 
-def repeated(spark: SparkSession, docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
-    """docs with _key, _copies (rows with the same text) and _spans: ranges of starts of windows that occur elsewhere."""
+def repeated(spark: SparkSession, docs: DataFrame, text: str = "text", hot: int = HOT, covers: tuple = (BYTES,)) -> DataFrame:
+    """docs with _key, _copies (rows with the same text) and _spans (of the next cover _spans1): ranges of starts of windows that occur elsewhere."""
     bounded_batches(spark)
     buckets = width(spark)
     rows = docs.withColumn(text, whole(text)).withColumn("_key", F.xxhash64(text))
-    names = rows.select("_key", F.col(text).alias("text")).mapInArrow(lean(_named(buckets)), "bucket long, names binary")
-    places = names.groupBy("bucket").applyInArrow(lean_group(_active(hot)), "_key long, places binary").groupBy("_key").agg(F.collect_list("places").alias("places"))
-    # both joins with the texts take whole rows, so that their shuffle is one and the same
-    found = rows.join(places, "_key").mapInArrow(lean(_placed(buckets, text)), "kind long, bucket long, a binary, b binary, _key long")
-    spans = found.groupBy("kind", "bucket").applyInArrow(lean_group(_starts), "_key long, spans binary").groupBy("_key").agg(F.collect_list("spans").alias("_spans"))
-    copies = rows.groupBy("_key").agg(F.count("*").alias("_copies")).where("_copies > 1")
-    marks = spans.join(copies, "_key", "full")
+    marks = rows.groupBy("_key").agg(F.count("*").alias("_copies")).where("_copies > 1")
+    for said, cover in zip(spans_of(covers), covers, strict=True):
+        names = rows.select("_key", F.col(text).alias("text")).mapInArrow(lean(_named(buckets, cover)), "bucket long, names binary")
+        places = names.groupBy("bucket").applyInArrow(lean_group(_active(hot, cover)), "_key long, places binary").groupBy("_key").agg(F.collect_list("places").alias("places"))
+        # all joins with the texts take whole rows, so that their shuffle is one and the same
+        found = rows.join(places, "_key").mapInArrow(lean(_placed(buckets, text, cover)), "kind long, bucket long, a binary, b binary, _key long")
+        spans = found.groupBy("kind", "bucket").applyInArrow(lean_group(_starts(cover)), "_key long, spans binary").groupBy("_key").agg(F.collect_list("spans").alias(said))
+        marks = spans.join(marks, "_key", "full")
     return rows.join(marks, "_key", "left")
 
 
-def removed(n: int, copies: int | None, spans: list[bytes] | None) -> np.ndarray:
-    """Maximal runs [lo, hi) of bytes that go, of a text of n bytes."""
-    if n < WINDOW:
+def spans_of(covers: tuple) -> list[str]:
+    return ["_spans", *(f"_spans{k}" for k in range(1, len(covers)))]
+
+
+def removed(n: int, copies: int | None, spans: list[bytes] | None, window: int = WINDOW) -> np.ndarray:
+    """Maximal runs [lo, hi) of bytes (or words) that go, of a text of n bytes (or words)."""
+    if n < window:
         return np.zeros((0, 2), np.int64)
     if copies and copies > 1:
         return np.array([[0, n]])
     if not spans:
         return np.zeros((0, 2), np.int64)
     x = np.concatenate([np.frombuffer(b, _SPAN) for b in spans])
-    _, packed = _spans_of(np.zeros(len(x), np.int64), x["lo"], x["hi"].astype(np.int64) + WINDOW - 1)
+    _, packed = _spans_of(np.zeros(len(x), np.int64), x["lo"], x["hi"].astype(np.int64) + window - 1)
     x = np.frombuffer(packed[0], _SPAN)
     return np.stack([x["lo"].astype(np.int64), x["hi"].astype(np.int64) + 1], 1)
 
@@ -420,13 +479,36 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _cut(text: str, names: list[str]):
+def _words_removed(text: str, copies: int | None, spans: list[bytes] | None, window: int) -> np.ndarray:
+    """Runs of bytes from the first to the last word of each run of words that goes."""
+    if not spans and not (copies and copies > 1):
+        return np.zeros((0, 2), np.int64)
+    at = np.array([m.span() for m in _RUN.finditer(text)], np.int64).reshape(-1, 2)
+    gone = removed(len(at), copies, spans, window)
+    ends = np.stack([at[gone[:, 0], 0], at[gone[:, 1] - 1, 1]], 1)
+    if not text.isascii():
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.concatenate([[0], np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))])[ends]
+    return ends
+
+
+def _union(parts: list[np.ndarray]) -> np.ndarray:
+    x = np.concatenate(parts)
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    if not len(x):
+        return x
+    far = np.maximum.accumulate(x[:, 1])
+    new = np.concatenate([[True], x[1:, 0] > far[:-1]])
+    return np.stack([x[new, 0], far[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(x) - 1]])]], 1)
+
+
+def _cut(text: str, names: list[str], covers: tuple):
     def run(batches):
         for b in batches:
             out = []
-            for t, copies, spans in zip(b.column(text).to_pylist(), b.column("_copies").to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            for t, copies, *spans in zip(*(b.column(c).to_pylist() for c in (text, "_copies", *spans_of(covers))), strict=True):
                 data = t.encode("utf-8", "surrogatepass")
-                gone = removed(len(data), copies, spans)
+                gone = _union([_words_removed(t, copies, s, c.window) if c.word else removed(len(data), copies, s, c.window) for c, s in zip(covers, spans, strict=True)])
                 # a run may begin or end inside a character; what is left of it goes too
                 out.append(t if not len(gone) else _left(data, gone).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text else b.column(n) for n in names], names=names)
@@ -434,11 +516,11 @@ def _cut(text: str, names: list[str]):
     return run
 
 
-def without_repeats(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the repeated stretches cut out of their texts; a null text becomes an empty one."""
+def without_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", covers: tuple = (BYTES,)) -> DataFrame:
+    """docs with the stretches that repeat by any of the covers cut out of their texts; a null text becomes an empty one."""
     names = docs.columns
     kinds = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
-    return repeated(spark, docs, text).select(*names, "_copies", "_spans").mapInArrow(lean(_cut(text, names)), kinds)
+    return repeated(spark, docs, text, covers=covers).select(*names, "_copies", *spans_of(covers)).mapInArrow(lean(_cut(text, names, covers)), kinds)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

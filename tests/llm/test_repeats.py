@@ -70,3 +70,32 @@ def test_cut_texts(spark):
     null = spark.createDataFrame([(None, "q" * 500), (None, "q" * 500)], "doc_id long, text string")
     assert [r.text for r in R.without_repeats(spark, null).collect()] == ["", ""]
     assert R.without_repeats(spark, df.where(F.col("doc_id") < 2)).count() == 2
+
+
+def test_word_cover():
+    c = R.WORDS
+    assert len({(a - b) % c.period for a in c.residues for b in c.residues}) == c.period <= c.window == 51
+
+
+@pytest.mark.parametrize("hot", [R.HOT, 3])
+def test_passages_of_over_50_words(spark, hot):
+    """Against counting all windows of 51 words; passages of short words have far less than 400 bytes."""
+    rng = random.Random(11)
+    say = lambda k: [rng.choice("aeiouéñ") + rng.choice(["", "b", "zd"]) for _ in range(k)]
+    base = say(400)
+    texts = [" ".join(say(rng.randrange(60)) + base[i : i + rng.randrange(45, 70)] + say(rng.randrange(60))) for i in range(0, 320, 4)]
+    texts += [" ".join(say(40) + base[330:381] + say(9)), "\n".join(say(7) + base[330:381]), " ".join(say(40) + base[10:60]), None, "", " ".join(base[:51]), " ".join(base[:51]), "x " * 200]
+    count = Counter(tuple(w[i : i + 51]) for t in texts for w in [(t or "").split()] for i in range(len(w) - 50))
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, bucket string").repartition(5)
+    found = R.repeated(spark, df, hot=hot, covers=(R.WORDS,)).select("doc_id", "text", "_copies", "_spans")
+    cut = {r.doc_id: r.text for r in found.mapInArrow(R._cut("text", ["doc_id", "text"], (R.WORDS,)), "doc_id long, text string").collect()}
+    both = {r.doc_id: r.text for r in R.without_repeats(spark, df, covers=(R.BYTES, R.WORDS)).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        gone = [any(count[tuple(w[j : j + 51])] > 1 for j in range(max(0, k - 50), min(k, len(w) - 51) + 1)) for k in range(len(w))]
+        some += any(gone)
+        kept = [x for x, g in zip(w, gone, strict=True) if not g]
+        assert cut[i].split() == kept and (any(gone) or cut[i] == (t or ""))
+        assert both[i].split() == kept or i == len(texts) - 1
+    assert some > 60
