@@ -8,11 +8,16 @@ walk is a locality-sensitive hash for it. Each repetition has its own bits and s
 Walks start at every character of an item but only at every `stride`-th of a document: whatever
 the shift, a copied passage holds several walks that begin in step with the item's own. A
 collision places an item-sized window in the document; the item's exact edit distance to the
-best stretch of that window (bit-parallel dynamic programming) decides. Repetitions are added
-until, on copies of the items with random edits at the rate `tuned_at`, the target recall is met.
+best stretch of that window (bit-parallel dynamic programming) decides. Items of one class of
+lengths share their repetitions, which are added until, on copies of the items with random edits
+at the rate `tuned_at` (the limit itself), the target recall is met; shorter items take shorter walks.
 
-Texts are compared in lower case with white space as one blank. Items shorter than MIN_ITEM
-characters then, and null items, take no part; null texts are empty. Repeated rows each give
+Items under EXACT characters, and classes that miss the target after MOST_REPEATS repetitions,
+are found without loss: k edits leave one of k + 1 pieces of an item whole, so the distance is
+computed wherever a piece stands.
+
+Texts are compared in lower case with white space as one blank. Items that are empty then, and
+null items, take no part; null texts are empty. Repeated rows each give
 their own results; repeated item ids are one item each row. An empty table on either side gives
 an empty result. Items are sent to all tasks in groups of at most MAX_ITEM_CHARS characters, one
 pass over the documents for each group.
@@ -30,11 +35,16 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, lean, mixed, spread, table, whole
 
-STEPS, SAMPLE, STRIDE = 56, 15, 12
-MIN_ITEM = 32
+STEPS, STRIDE = 56, 12
+#: Steps and samples of the walks of items from so many characters on.
+WALKS = {192: (STEPS, 15), 96: (44, 13), 0: (36, 12)}
+EXACT = 64
+CLASSES = (EXACT, 96, 128, 192, 256)  # least lengths
+TAIL = 32  # characters of an item that a walk has before it at least
 MAX_ITEM_CHARS = 4_000_000
 WITHIN = 0.2  # edits for each character of the item at most
-RECALL, TUNED_AT, MOST_REPEATS = 0.97, 0.1, 4
+RECALL, TUNED_AT, MOST_REPEATS = 0.97, WITHIN, 48
+COPIES = 400
 _BITMAP = 24
 
 
@@ -48,23 +58,26 @@ def codes(text: str) -> np.ndarray:
     return ((x ^ (x >> np.uint32(8)) * np.uint32(37)) & np.uint32(0xFF)).astype(np.uint8)
 
 
-@lru_cache(64)
-def _walk(rep: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(256)
+def _walk(rep: int, steps: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Bits of (step, character), and which steps are sampled."""
     rng = np.random.default_rng(1_000_003 + rep)
-    return rng.integers(0, 2, (STEPS, 256)).astype(np.uint32), np.sort(rng.choice(STEPS, SAMPLE, replace=False))
+    return rng.integers(0, 2, (steps, 256)).astype(np.intp), np.sort(rng.choice(steps, sample, replace=False))
 
 
-def hashes(text: np.ndarray, starts: np.ndarray, rep: int) -> np.ndarray:
+def hashes(text: np.ndarray, starts: np.ndarray, rep: int, walk: tuple[int, int]) -> np.ndarray:
     """The sampled walk from each start; the text must go on for STEPS more characters."""
-    bits, sample = _walk(rep)
+    bits, sample = _walk(rep, *walk)
     sampled = set(sample.tolist())
-    at, out = starts.astype(np.uint32), np.full(len(starts), rep + 1, np.uint64)
-    for j in range(int(sample[-1]) + 1):
-        c = text[at]
-        if j in sampled:
-            out = out * np.uint64(0x9E3779B97F4A7C15) + c
-        at = at + bits[j][c]
+    out = np.full(len(starts), rep + 1, np.uint64)
+    for k in range(0, len(starts), 1 << 13):  # what fits the cache
+        at, own = starts[k : k + (1 << 13)].astype(np.intp), out[k : k + (1 << 13)]
+        for j in range(int(sample[-1]) + 1):
+            c = text.take(at)
+            if j in sampled:
+                own *= np.uint64(0x9E3779B97F4A7C15)
+                own += c
+            at += bits[j].take(c)
     return mixed(out)
 
 
@@ -96,35 +109,35 @@ def distance(item: str, window: str, most: int) -> int:
 
 
 class Index:
-    """Walks from every place of every item."""
-
-    def __init__(self, items: list[str], repeats: int):
-        self.items, self.repeats = items, repeats
-        text = np.concatenate([np.zeros(0, np.uint8), *(np.concatenate([codes(t), np.zeros(STEPS, np.uint8)]) for t in items)])
-        ends = np.cumsum([len(t) + STEPS for t in items])
-        starts = [np.arange(e - len(t) - STEPS, e - STEPS - MIN_ITEM + 1) for t, e in zip(items, ends.tolist(), strict=True)]
-        self.item = np.repeat(np.arange(len(items)), [len(s) for s in starts])
-        self.offset = np.concatenate([np.zeros(0, np.int64), *(s - s[0] for s in starts)])
-        self.tables = []
-        for rep in range(repeats):
-            h = hashes(text, np.concatenate(starts), rep)
-            order = np.argsort(h, kind="stable")
-            seen = np.zeros(1 << _BITMAP, bool)
-            seen[h >> np.uint64(64 - _BITMAP)] = True
-            self.tables.append((h[order], order, seen))
+    """Walks from every place of every item that has this repetition; item numbers are those of `own`."""
+
+    def __init__(self, items: list[str], own: list[int], rep: int, walk: tuple[int, int]):
+        self.rep, self.walk = rep, walk
+        text = np.concatenate([np.zeros(0, np.uint8), *(np.concatenate([codes(items[i]), np.zeros(STEPS, np.uint8)]) for i in own)])
+        size = np.array([len(items[i]) for i in own], np.int64)
+        count = np.maximum(size - TAIL + 1, 0)
+        item, offset = np.repeat(np.array(own, np.int64), count), spread(count)
+        h = hashes(text, np.repeat(np.cumsum(size + STEPS) - size - STEPS, count) + offset, rep, walk)
+        order = np.argsort(h, kind="stable")
+        self.h, self.item, self.offset = h[order], item[order], offset[order]
+        self.shift = np.uint64(64 - min(_BITMAP, len(h).bit_length() + 5))
+        self.seen = np.zeros(1 << 64 - int(self.shift), bool)
+        self.seen[h >> self.shift] = True
 
     def candidates(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, place in the text where it would begin, start of the walk that met it)."""
-        found = []
-        for rep, (sorted_h, order, seen) in enumerate(self.tables):
-            h = hashes(text, starts, rep)
-            near = np.flatnonzero(seen[h >> np.uint64(64 - _BITMAP)])
-            lo, hi = np.searchsorted(sorted_h, h[near], "left"), np.searchsorted(sorted_h, h[near], "right")
-            count = hi - lo
-            pick = order[np.repeat(lo, count) + spread(count)]
-            walk = np.repeat(starts[near], count).astype(np.int64)
-            found.append((self.item[pick], walk - self.offset[pick], walk))
-        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+        h = hashes(text, starts, self.rep, self.walk)
+        near = np.flatnonzero(self.seen[h >> self.shift])
+        lo, hi = np.searchsorted(self.h, h[near], "left"), np.searchsorted(self.h, h[near], "right")
+        count = hi - lo
+        pick = np.repeat(lo, count) + spread(count)
+        walk = np.repeat(starts[near], count).astype(np.int64)
+        return self.item[pick], walk - self.offset[pick], walk
+
+
+def walk_of(n: int) -> tuple[int, int]:
+    """The walk of items of n characters."""
+    return next(w for least, w in WALKS.items() if n >= least)
 
 
 def edited(text: str, rate: float, rng: random.Random) -> str:
@@ -142,31 +155,60 @@ def edited(text: str, rate: float, rng: random.Random) -> str:
     return "".join(out)
 
 
-def repeats_for(items: list[str], recall: float = RECALL, rate: float = TUNED_AT, most: int = MOST_REPEATS) -> int:
-    """Fewest repetitions that find so many edited copies of (up to 100 of) the items."""
-    rng = random.Random(7)
-    some = rng.sample(items, min(100, len(items)))
-    copies = [(k, edited(t, rate, rng)) for k, t in enumerate(some)]
-    for n in range(1, most):
-        index = Index(some, n)
-        hit = 0
-        for k, copy in copies:
-            text = np.concatenate([codes(copy), np.zeros(STEPS, np.uint8)])
-            item, _, _ = index.candidates(text, np.arange(rng.randrange(STRIDE), len(copy), STRIDE))
-            hit += k in item
-        if hit >= recall * len(copies):
-            return n
-    return most
+def repeats_for(items: list[str], recall: float = RECALL, rate: float = TUNED_AT, most: int = MOST_REPEATS) -> list[int]:
+    """For each item, the fewest repetitions that find so many edited copies of its class; 0 for the exact way."""
+    kind = np.searchsorted(CLASSES, [len(t) for t in items], "right")
+    out = np.zeros(len(items), np.int64)
+    for k in range(1, len(CLASSES) + 1):
+        rng = random.Random(7)
+        own = np.flatnonzero(kind == k).tolist()
+        some = rng.sample(own, min(COPIES, len(own)))
+        copies = [(i, edited(items[i], rate, rng), rng.randrange(STRIDE)) for i in some for _ in range(-(-COPIES // len(some)))]
+        after = codes("".join(rng.choice(items[i]) for i in rng.choices(own or [0], k=STEPS)))  # a document goes on
+        left = copies
+        for n in range(most if some else 0):
+            index = Index(items, some, n, walk_of(CLASSES[k - 1]))
+            left = [(i, c, at) for i, c, at in left if i not in index.candidates(np.concatenate([codes(c), after]), np.arange(at, len(c), STRIDE))[0]]
+            if len(left) + len(left) ** 0.5 <= (1 - recall) * len(copies):  # a standard error to spare
+                out[own] = n + 1
+                break
+    return out.tolist()
+
+
+def _pieces(item: str, most: int) -> list[tuple[int, str]]:
+    """most + 1 pieces with their places: that many edits leave one whole."""
+    cut = [len(item) * k // (most + 1) for k in range(most + 2)]
+    return [(a, item[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
 class Search:
     """The items of one group, and what was verified before."""
 
-    def __init__(self, items: list[str], repeats: int, within: float):
-        self.index, self.items, self.within = Index(items, repeats), items, within
-        self.half = np.array([len(t) // 2 for t in items])
+    def __init__(self, items: list[str], repeats: list[int], within: float):
+        self.items, self.within = items, within
+        kinds = [walk_of(len(t)) for t in items]
+        self.indexes = [Index(items, own, rep, walk) for walk in WALKS.values() for rep in range(max(repeats)) if (own := [i for i, n in enumerate(repeats) if n > rep and kinds[i] == walk])]
+        self.exact = [(i, most := int(within * len(items[i])), _pieces(items[i], most)) for i, n in enumerate(repeats) if not n]
         self.known: dict[tuple[int, str], int] = {}
 
+    def _exactly(self, doc: str, i: int, most: int, pieces: list[tuple[int, str]]) -> int:
+        """Least number of edits of the item in the text; more than `most` may be any larger number."""
+        n, spans = len(self.items[i]), []
+        if most >= n:
+            return distance(self.items[i], doc, most)
+        for at, piece in pieces:
+            j = doc.find(piece)
+            while j >= 0:
+                spans.append((max(0, j - at - most), min(len(doc), j - at + n + most)))
+                j = doc.find(piece, j + 1)
+        best, lo, hi = most + 1, 0, 0
+        for a, b in [*sorted(spans), (len(doc) + 1, 0)]:
+            if a > hi:
+                best = min(best, self._distance(i, doc[lo:hi], most))
+                lo, hi = a, b
+            hi = max(hi, b)
+        return best
+
     def _distance(self, i: int, window: str, most: int) -> int:
         if len(window) < len(self.items[i]) - most:
             return most + 1
@@ -186,7 +228,9 @@ class Search:
         for t, at in zip(docs, base.tolist(), strict=True):
             text[at : at + len(t)] = codes(t)
         count = -(-size // STRIDE)
-        item, begin, walk = self.index.candidates(text, np.repeat(base, count) + STRIDE * spread(count))
+        starts = np.repeat(base, count) + STRIDE * spread(count)
+        found = [x.candidates(text, starts) for x in self.indexes]
+        item, begin, walk = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3))
         doc = np.searchsorted(base, walk, "right") - 1
         out: dict[tuple[int, int], int] = {}
         last = None
@@ -199,6 +243,10 @@ class Search:
             d = self._distance(i, docs[k][max(0, at - most - 8) : max(0, at + n + most + 16)], most)
             if d <= most and d < out.get((k, i), most + 1):
                 out[k, i] = d
+        for i, most, pieces in self.exact:
+            for k, t in enumerate(docs):
+                if (d := self._exactly(t, i, most, pieces)) <= most:
+                    out[k, i] = d
         return out
 
 
@@ -230,7 +278,7 @@ def _groups(benchmark: DataFrame):
     groups = max(1, -(-chars // MAX_ITEM_CHARS))
     for g in range(groups):
         rows = fine.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).orderBy("item_id", "text").collect()
-        part = [(r["item_id"], t) for r in rows if len(t := plain(r["text"])) >= MIN_ITEM]
+        part = [(r["item_id"], t) for r in rows if (t := plain(r["text"]))]
         if part:
             yield [i for i, _ in part], [t for _, t in part]
 

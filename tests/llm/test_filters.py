@@ -157,3 +157,33 @@ def test_item_groups(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")
     bench = df.select(F.col("doc_id").alias("item_id"), "text")
     assert {(r.doc_id, r.item_id) for r in D.contaminated(spark, df, bench).collect()} == {(i, i) for i in range(12)}
+
+
+@pytest.mark.parametrize("n", [3, 9, 20, 31, 32, 37, 42, 50, 63])
+def test_short_items_are_found_wherever_they_stand(n):
+    rng = random.Random(n)
+    some = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    items, most = [some(n) for _ in range(6)], int(D.WITHIN * n)
+    search = D.Search(items, D.repeats_for(items), D.WITHIN)
+    copies = [items[i % 6] if i < 12 else D.edited(items[i % 6], rng.random() * D.WITHIN, rng) for i in range(48)]
+    texts = [some(i) + c + some(50) for i, c in enumerate(copies)] + [some(200), ""]
+    want = {(k, i): d for k, t in enumerate(texts) for i, x in enumerate(items) if (d := plain_distance(x, t)) <= most}
+    assert search(texts) == want and {(i, i % 6) for i in range(12)} <= set(want)
+
+
+def test_recall_is_met_at_the_limit_in_each_class():
+    rng = random.Random(12)
+    _, say = passages(rng)
+    for n in (64, 100, 130, 200, 330):
+        items = [say(80)[:n].strip() for _ in range(40)]
+        repeats = D.repeats_for(items)
+        search = D.Search(items, repeats, 1.2 * D.WITHIN)  # room for rounding
+        texts = [say(rng.randrange(20)) + " " + D.edited(t, D.WITHIN, rng) + " " + say(20) for _ in range(5) for t in items]
+        found = search(texts)
+        assert sum((k, k % 40) in found for k in range(len(texts))) >= 0.94 * len(texts), (n, repeats)
+
+
+def test_classes_out_of_reach_go_the_exact_way():
+    items = [passages(random.Random(13))[0][0][:150].strip()]
+    assert D.repeats_for(items, most=0) == [0] and D.repeats_for(items)[0] > 0
+    assert D.Search(items, [0], D.WITHIN)(["x" * 7 + items[0], "y" * 300]) == {(0, 0): 0}
