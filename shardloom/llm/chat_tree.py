@@ -190,7 +190,7 @@ def _rendered(batches):
         done = [(*render(r, t), r == "assistant") for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_pydict({
             "node": b.column("node"), "depth": b.column("depth"), "start": b.column("start"), "length": b.column("length"), "position": b.column("position"), "attends": b.column("attends"),
-            "formatted": [x[0] for x in done], "loss_lo": [x[1] if x[3] else None for x in done], "loss_hi": [x[2] if x[3] else None for x in done],
+            "formatted": pa.array([x[0] for x in done], pa.string()), "loss_lo": pa.array([x[1] if x[3] else None for x in done], pa.int64()), "loss_hi": pa.array([x[2] if x[3] else None for x in done], pa.int64()),
         })
 
 

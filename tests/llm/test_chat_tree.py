@@ -88,3 +88,16 @@ def test_read_back(spark):
 def test_empty(spark):
     nodes, members = C.chat_tree(spark, spark.createDataFrame([], KIND))
     assert nodes.count() == members.count() == 0 and C.read_back(nodes, members).count() == 0
+
+
+def test_batches_of_one_kind(spark):
+    """A batch without an assistant's turn, one with them only, and an empty one have one schema."""
+    import pyarrow as pa
+
+    turn = {"node": b"n", "depth": 0, "start": 0, "length": 1, "position": 0, "attends": [], "text": "t"}
+    kinds = pa.schema([("node", pa.binary()), ("depth", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("position", pa.int64()), ("attends", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("role", pa.string()), ("text", pa.string())])
+    batches = [pa.RecordBatch.from_pylist([turn | {"role": r} for r in roles], kinds) for roles in (["user"], ["assistant"], [], ["user", "assistant"])]
+    assert len({b.schema for b in C._rendered(batches)}) == 1
+    alone = [(c, 0, "user", f"no reply {c}", "x") for c in range(20)]
+    got = C.read_back(*C.chat_tree(spark, spark.createDataFrame(alone, KIND))).collect()
+    assert len(got) == 20 and all(r.loss_chars == 0 and r.loss_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
