@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, lean, mixed, rows_of, runs, table, whole, written
+from .common import bounded_batches, components, fresh, lean, mixed, rows_of, runs, table, whole, written
 from .vocab import Memo
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.995
@@ -260,12 +260,15 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, threshold: float =
     marks = written(spark, near_join(spark, docs, threshold).where("n_links > 0"), "marks").groupBy("_group", F.col("doc_id").alias("_id"), F.col("_text").alias("_t")).count()
     stays = marks.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_t")).alias("one"))
     marks = written(spark, marks.join(stays, "_group").select("_id", "_t", "count", (F.col("_id").eqNullSafe(F.col("one._id")) & (F.col("_t") == F.col("one._t"))).alias("stays")), "drops")
-    hashed = docs.withColumn("_x", F.xxhash64(whole()))
-    same = lambda m: F.col("doc_id").cast("long").eqNullSafe(m["_id"]) & (F.col("_x") == m["_t"])
-    drop, again = marks.where("not stays or count > 1"), marks.where("stays and count > 1")
-    out = hashed.join(drop, same(drop), "left_anti").select(*names)
+    x, = fresh(docs, "_x")
+    hashed = docs.withColumn(x, F.xxhash64(whole()))
+    marks = marks.toDF(*fresh(hashed, "_id", "_t", "_count", "_stays"))
+    own_id, own_t, times, stay = map(F.col, marks.columns)
+    same = F.col("doc_id").cast("long").eqNullSafe(own_id) & (F.col(x) == own_t)
+    drop, again = marks.where(~stay | (times > 1)), marks.where(stay & (times > 1))
+    out = hashed.join(drop, same, "left_anti").select(*names)
     if not again.isEmpty():  # rows that repeat one that stays
-        out = out.unionByName(hashed.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "_x"]).select(*names))
+        out = out.unionByName(hashed.join(again, same, "left_semi").dropDuplicates(["doc_id", x]).select(*names))
     return out
 
 

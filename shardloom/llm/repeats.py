@@ -9,7 +9,9 @@ period needs no more than one level of names.
 
 1. Sampled tuples are named (a fingerprint) and sorted by name in buckets. Names that stand
    alone end here. If all places of a name have one residue, only the first residue of D stays:
-   the pairs meet there as well.
+   the pairs meet there as well. A name with more than LOCAL places in one task's half million
+   is settled as repeated there: its places go straight to their texts, and only a mark goes to
+   the name's bucket. Buckets are as many as the texts' bytes ask for.
 2. What stays joins its text. A place brings the V - 1 bytes before it and the WINDOW bytes from
    it: all windows that begin in the period before the place. Sorted by name, these remaining
    starts are merged, and neighbours with equal windows mark each other.
@@ -24,7 +26,11 @@ Names and windows are 64-bit polynomial fingerprints over random byte values (na
 Exact copies need no search: a text that occurs twice goes as a whole if it has WINDOW bytes,
 and counts once as a partner of others. Null texts are empty; texts shorter than WINDOW keep
 all. Text is held as UTF-8 bytes; repeated ids and null ids are documents like others. Long
-texts are worked on in pieces.
+texts are worked on in pieces. An empty table gives an empty result. Other columns stay, whatever
+their names are; of `repeated` alone, columns called _key, _copies or _spans are replaced.
+
+In place of ranks, names are hashes, and only equal windows need to meet, so there is no ordered
+merge of suffixes.
 
 The same works over words (runs between white space, each known by a 64-bit hash) in place of
 bytes: a Cover says which, and how long a window is. WORDS finds passages of over 50 words however
@@ -53,14 +59,17 @@ V = 273
 #: Fixed: a perfect difference set modulo 273; every difference occurs once.
 D = np.array([1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256])
 TUPLE = WINDOW - V + 1
-HOT = 4096
+HOT, LOCAL = 4096, 256
 PIECE = 1 << 20
+#: Bytes of text for each bucket of names or windows.
+BUCKET_BYTES = 8 << 20
 
 _NAME = np.dtype([("name", "<u4"), ("key", "<i8"), ("pos", "<u4")])
 _HEAD = np.dtype([("name", "<u8"), ("key", "<i8"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2")])
 _FINE = np.dtype([("hash", "<u8"), ("key", "<i8"), ("pos", "<u4")])
 _SPAN = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 _FLAG = np.uint32(1 << 31)
+_MARK = np.uint32(0xFFFFFFFF)  # no place, but says that the name is hot
 _BASE = 0x5851F42D4C957F2D
 
 
@@ -172,7 +181,27 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _named(buckets: int, cover: Cover):
+def _hot_apart(x: np.ndarray, bucket: np.ndarray, most: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of names that have more than `most` of them here are flagged and dealt by text; a mark stands for them in the name's bucket."""
+    order = np.argsort(x["name"], kind="stable")
+    x, bucket = x[order], bucket[order]
+    first, count = runs(x["name"])
+    if not (count > most).any():
+        return x, bucket
+    on = np.repeat(count > most, count)
+    hot = np.unique(x[on])  # copies of a text say the same
+    first, count = runs(hot["name"])
+    still = np.repeat(count > most, count)
+    home = lambda y: _bucket(mixed(y["name"].astype(np.uint64)), buckets)
+    marks = hot[first[count > most]].copy()
+    marks["key"], marks["pos"] = 0, _MARK
+    direct = hot[still]
+    direct["pos"] |= _FLAG
+    parts = [(x[~on], bucket[~on]), (hot[~still], home(hot[~still])), (marks, home(marks)), (direct, _bucket(mixed(direct["key"].astype(np.uint64)), buckets))]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _named(buckets: int, cover: Cover, most: int = LOCAL):
     """Texts to packed names of their sampled tuples."""
 
     def run(batches):
@@ -188,14 +217,14 @@ def _named(buckets: int, cover: Cover):
                 x = np.empty(len(at), _NAME)
                 h = prints(at - start + base, cover.tuple)
                 x["name"], x["key"], x["pos"] = h & np.uint64(0xFFFFFFFF), key, at
-                out.append((x, _bucket(h, buckets)))
+                out.append((x, _bucket(mixed(h & np.uint64(0xFFFFFFFF)), buckets)))
                 base += len(data)
             pieces, size = [], 0
             return out
 
         def sent():
             x, b = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            parts = list(_dealt(x, b))
+            parts = list(_dealt(*_hot_apart(x, b, most, buckets)))
             return pa.RecordBatch.from_pydict({"bucket": pa.array([p[0] for p in parts], pa.int64()), "names": pa.array([_pack(p[1]) for p in parts], pa.binary())})
 
         for batch in batches:
@@ -229,9 +258,13 @@ def _active(most: int, cover: Cover):
 
     def run(group: pa.Table) -> pa.Table:
         x = np.concatenate([_unpack(b, _NAME) for b in group.column("names").to_pylist()])
+        marked = np.unique(x["name"][x["pos"] == _MARK])
+        flagged = x["pos"] & _FLAG > 0
+        direct = x[flagged & (x["pos"] != _MARK)]
+        x = x[~flagged]
         x = x[np.argsort(x["name"], kind="stable")]
         first, count = runs(x["name"])
-        x = x[np.repeat(count > 1, count)]
+        x = x[np.repeat((count > 1) | np.isin(x["name"][first], marked), count)]
         x = x[np.lexsort((x["pos"], x["key"], x["name"]))]
         if len(x):  # copies of a text say the same
             x = x[np.concatenate([[True], x[1:] != x[:-1]])]
@@ -239,10 +272,12 @@ def _active(most: int, cover: Cover):
         if len(first):
             residue = x["pos"] % cover.period
             least, last = np.minimum.reduceat(residue, first), np.maximum.reduceat(residue, first)
-            keep = (count > 1) & ((least != last) | (least == cover.residues[0]))
-            hot = np.repeat(keep & (count > most), count)
+            known = np.isin(x["name"][first], marked)
+            keep = known | (count > 1) & ((least != last) | (least == cover.residues[0]))
+            hot = np.repeat(keep & (known | (count > most)), count)
             x["pos"][hot] |= _FLAG
             x = x[np.repeat(keep, count)]
+        x = np.concatenate([x, direct])
         x = x[np.argsort(x["key"], kind="stable")]
         first, count = runs(x["key"])
         places = [x["pos"][i : i + n].tobytes() for i, n in zip(first.tolist(), count.tolist(), strict=True)]
@@ -426,14 +461,15 @@ def _ranges(key: np.ndarray, pos: np.ndarray):
     return key[first], pos[first], pos[last]
 
 
-def repeated(spark: SparkSession, docs: DataFrame, text: str = "text", hot: int = HOT, covers: tuple = (BYTES,)) -> DataFrame:
+def repeated(spark: SparkSession, docs: DataFrame, text: str = "text", hot: int = HOT, covers: tuple = (BYTES,), local: int = LOCAL) -> DataFrame:
     """docs with _key, _copies (rows with the same text) and _spans (of the next cover _spans1): ranges of starts of windows that occur elsewhere."""
     bounded_batches(spark)
-    buckets = width(spark)
-    rows = docs.withColumn(text, whole(text)).withColumn("_key", F.xxhash64(text))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(width(spark), -(-size // BUCKET_BYTES))
+    rows = docs.drop("_copies", *spans_of(covers)).withColumn(text, whole(text)).withColumn("_key", F.xxhash64(text))
     marks = rows.groupBy("_key").agg(F.count("*").alias("_copies")).where("_copies > 1")
     for said, cover in zip(spans_of(covers), covers, strict=True):
-        names = rows.select("_key", F.col(text).alias("text")).mapInArrow(lean(_named(buckets, cover)), "bucket long, names binary")
+        names = rows.select("_key", F.col(text).alias("text")).mapInArrow(lean(_named(buckets, cover, local)), "bucket long, names binary")
         places = names.groupBy("bucket").applyInArrow(lean_group(_active(hot, cover)), "_key long, places binary").groupBy("_key").agg(F.collect_list("places").alias("places"))
         # all joins with the texts take whole rows, so that their shuffle is one and the same
         found = rows.join(places, "_key").mapInArrow(lean(_placed(buckets, text, cover)), "kind long, bucket long, a binary, b binary, _key long")
@@ -468,15 +504,25 @@ def _left(data: bytes, gone: np.ndarray) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _digest(batches):
+def _digest(batches, words: bool = False):
+    """Counts and digest of what the bytes' cover leaves; with `words` also how many words, and in how many runs, the words' cover finds."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 2 * words]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["n_words_repeated", "n_word_spans"] * words]
     for b in batches:
         rows = []
-        for text, copies, spans in zip(b.column("text").to_pylist(), b.column("_copies").to_pylist(), b.column("_spans").to_pylist(), strict=True):
+        for text, copies, spans, more in zip(*(b.column(c).to_pylist() for c in ("text", "_copies", "_spans", "_spans1" if words else "_spans")), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             gone = removed(len(data), copies, spans)
             rows.append((len(data), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), hashlib.sha256(_left(data, gone)).hexdigest()))
-        c = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            if words:
+                own = removed(len(text.split()) if more or copies else 0, copies, more, WORDS.window)
+                rows[-1] += int((own[:, 1] - own[:, 0]).sum()), len(own)
+        c = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(c, kinds, strict=True))], names=names)
+
+
+def _both_digests(batches):
+    return _digest(batches, words=True)
 
 
 def _words_removed(text: str, copies: int | None, spans: list[bytes] | None, window: int) -> np.ndarray:
@@ -502,7 +548,9 @@ def _union(parts: list[np.ndarray]) -> np.ndarray:
     return np.stack([x[new, 0], far[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(x) - 1]])]], 1)
 
 
-def _cut(text: str, names: list[str], covers: tuple):
+def _cut(text: str, names: list[str], covers: tuple, called: list[str] | None = None):
+    """Batches with the text cut, their columns `names` under the names `called`."""
+
     def run(batches):
         for b in batches:
             out = []
@@ -511,7 +559,7 @@ def _cut(text: str, names: list[str], covers: tuple):
                 gone = _union([_words_removed(t, copies, s, c.window) if c.word else removed(len(data), copies, s, c.window) for c, s in zip(covers, spans, strict=True)])
                 # a run may begin or end inside a character; what is left of it goes too
                 out.append(t if not len(gone) else _left(data, gone).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text else b.column(n) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text else b.column(n) for n in names], names=called or names)
 
     return run
 
@@ -519,10 +567,13 @@ def _cut(text: str, names: list[str], covers: tuple):
 def without_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", covers: tuple = (BYTES,)) -> DataFrame:
     """docs with the stretches that repeat by any of the covers cut out of their texts; a null text becomes an empty one."""
     names = docs.columns
+    own = [text if n == text else f"c{k}{'_' * len(text)}" for k, n in enumerate(names)]  # so that no column clashes with ours
     kinds = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
-    return repeated(spark, docs, text, covers=covers).select(*names, "_copies", *spans_of(covers)).mapInArrow(lean(_cut(text, names, covers)), kinds)
+    return repeated(spark, docs.toDF(*own), text, covers=covers).select(*own, "_copies", *spans_of(covers)).mapInArrow(lean(_cut(text, own, covers, names)), kinds)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strings of 400 bytes remove; two more columns say what passages of over 50 words cover, which may have fewer bytes."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return repeated(spark, docs).select("doc_id", "text", "_copies", "_spans").mapInArrow(lean(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = repeated(spark, docs, covers=(BYTES, WORDS)).select("doc_id", "text", "_copies", "_spans", "_spans1")
+    return found.mapInArrow(lean(_both_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_words_repeated long, n_word_spans long")

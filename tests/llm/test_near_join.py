@@ -66,6 +66,8 @@ def test_one_of_each_stays(spark):
     df = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, keys string")
     got = J.without_near_copies(spark, df).collect()
     assert got[0].keys == "kept"
+    odd = spark.createDataFrame([(*r, "x", 1, "t", 0) for r in rows], "doc_id long, text string, _x string, _id int, _t string, stays int")
+    assert Counter(map(tuple, J.without_near_copies(spark, odd).collect())) == Counter((r.doc_id, r.text, "x", 1, "t", 0) for r in got)
     named = Counter((r.doc_id, r.text) for r in got)
     for g in groups:
         if len(g) == 1 or not len(sets[g[0]]):

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -26,6 +27,29 @@ def brute(texts):
     return out
 
 
+def brute_cut(texts):
+    """The texts without what the bytes' and the words' cover find, by counting all windows."""
+    data = [(t or "").encode() for t in texts]
+    count = Counter(hashlib.blake2b(d[i : i + 400]).digest() for d in data for i in range(len(d) - 399))
+    words = [[(m.start(), m.end()) for m in re.finditer(rb"\S+", d)] if t is None or t.isascii() else [(len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in re.finditer(r"\S+", t)] for d, t in zip(data, texts, strict=True)]
+    said = [[d[a:b] for a, b in w] for d, w in zip(data, words, strict=True)]
+    seen = Counter(tuple(w[i : i + 51]) for w in said for i in range(len(w) - 50))
+    out = []
+    for d, at, w in zip(data, words, said, strict=True):
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - 399):
+            if count[hashlib.blake2b(d[i : i + 400]).digest()] > 1:
+                gone[i : i + 400] = True
+        lost = np.zeros(len(w) + 2, int)
+        for i in range(len(w) - 50):
+            if seen[tuple(w[i : i + 51])] > 1:
+                lost[i + 1 : i + 52] = 1
+        for a, b in zip(np.flatnonzero(np.diff(lost) == 1), np.flatnonzero(np.diff(lost) == -1), strict=True):  # runs of words
+            gone[at[a][0] : at[b - 1][1]] = True
+        out.append(bytes(np.frombuffer(d, np.uint8)[~gone]).decode("utf-8", "ignore"))
+    return out
+
+
 def corpus():
     rng = random.Random(6)
     some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
@@ -38,11 +62,11 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("hot", [R.HOT, 3])
-def test_against_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "local"), [(R.HOT, R.LOCAL), (3, R.LOCAL), (R.HOT, 2), (5, 1)])
+def test_against_brute_force(spark, hot, local):
     texts = corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, bucket int").repartition(5)
-    found = R.repeated(spark, df, hot=hot).select("doc_id", "text", "_copies", "_spans").mapInArrow(R._digest, DIGEST)
+    found = R.repeated(spark, df, hot=hot, local=local).select("doc_id", "text", "_copies", "_spans").mapInArrow(R._digest, DIGEST)
     got = {r.doc_id: tuple(r)[1:] for r in found.collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
@@ -72,6 +96,15 @@ def test_cut_texts(spark):
     assert R.without_repeats(spark, df.where(F.col("doc_id") < 2)).count() == 2
 
 
+def test_clashing_columns(spark):
+    texts = corpus()[:14]
+    df = spark.createDataFrame([(i, "k", 5, [b"s"], b"m", "b", t) for i, t in enumerate(texts)], "doc_id long, _key string, _copies int, _spans array<binary>, _spans1 binary, c0 string, text string")
+    out = {r.doc_id: r for r in R.without_repeats(spark, df, covers=(R.BYTES, R.WORDS)).collect()}
+    plain = {r.doc_id: r.text for r in R.without_repeats(spark, df.select("doc_id", "text"), covers=(R.BYTES, R.WORDS)).collect()}
+    assert {i: r.text for i, r in out.items()} == plain and all(tuple(r)[1:6] == ("k", 5, [b"s"], b"m", "b") for r in out.values())
+    assert R.repeated(spark, df).count() == len(texts)
+
+
 def test_word_cover():
     c = R.WORDS
     assert len({(a - b) % c.period for a in c.residues for b in c.residues}) == c.period <= c.window == 51
