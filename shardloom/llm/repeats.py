@@ -9,7 +9,7 @@ period needs no more than one level of names.
 
 1. Sampled tuples are named (a fingerprint) and sorted by name in buckets. Names that stand
    alone end here. If all places of a name have one residue, only the first residue of D stays:
-   the pairs meet there as well. A name with more than LOCAL places in one task's half million
+   the pairs meet there as well. A name with more than LOCAL places among those that a task holds at a time
    is settled as repeated there: its places go straight to their texts, and only a mark goes to
    the name's bucket. Buckets are as many as the texts' bytes ask for.
 2. What stays joins its text. A place brings the V - 1 bytes before it and the WINDOW bytes from
@@ -59,10 +59,10 @@ V = 273
 #: Fixed: a perfect difference set modulo 273; every difference occurs once.
 D = np.array([1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256])
 TUPLE = WINDOW - V + 1
-HOT, LOCAL = 4096, 256
+HOT, LOCAL = 4096, 512
 PIECE = 1 << 20
-#: Bytes of text for each bucket of names or windows.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for each bucket of names or windows; names and pieces that a task holds before it deals them to the buckets.
+BUCKET_BYTES, HELD_NAMES, HELD_PIECES = 32 << 20, 1 << 21, 4
 
 _NAME = np.dtype([("name", "<u4"), ("key", "<i8"), ("pos", "<u4")])
 _HEAD = np.dtype([("name", "<u8"), ("key", "<i8"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2")])
@@ -242,7 +242,7 @@ def _named(buckets: int, cover: Cover, most: int = LOCAL):
                         new = hashed()
                         held += new
                         rows += sum(len(h[0]) for h in new)
-                        if rows >= 1 << 19:
+                        if rows >= HELD_NAMES:
                             yield sent()
                             held, rows = [], 0
         if pieces:
@@ -395,7 +395,7 @@ def _placed(buckets: int, text: str, cover: Cover):
                         piece = data[lo : start + cover.piece + cover.window]
                         docs.append((key, piece, lo, len(data), part))
                         size += len(piece)
-                    if size >= cover.piece:
+                    if size >= HELD_PIECES * cover.piece:
                         out += worked()
                         docs, size = [], 0
                         if out:
