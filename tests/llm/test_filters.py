@@ -187,3 +187,33 @@ def test_classes_out_of_reach_go_the_exact_way():
     items = [passages(random.Random(13))[0][0][:150].strip()]
     assert D.repeats_for(items, most=0) == [0] and D.repeats_for(items)[0] > 0
     assert D.Search(items, [0], D.WITHIN)(["x" * 7 + items[0], "y" * 300]) == {(0, 0): 0}
+
+
+def test_bounds_of_many_windows():
+    """Over texts whose bytes are all their own, the bound is the distance."""
+    rng = random.Random(21)
+    some = lambda k: "".join(rng.choices("abcdefg ", k=k))
+    items = [some(n) for n in (1, 5, 63, 64, 65, 128, 130, 200)]
+    text = some(900)
+    codes = np.concatenate([D.codes(text), np.zeros(D.ROOM, np.uint8)])
+    where = [(i, lo, min(900, lo + rng.randrange(1, 2 * len(items[i]) + 20))) for i in range(len(items)) for lo in (rng.randrange(800) for _ in range(9))]
+    item, lo, hi = np.array(where).T
+    assert D.Bounds(items)(item, lo, hi, codes).tolist() == [plain_distance(items[i], text[a:b]) for i, a, b in where]
+    # characters that share a byte can only lower it
+    odd = "".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(300))
+    low = D.Bounds([odd[50:120], odd[:40]])(np.array([0, 1]), np.array([60, 30]), np.array([190, 90]), np.concatenate([D.codes(odd), np.zeros(D.ROOM, np.uint8)]))
+    assert low[0] <= plain_distance(odd[50:120], odd[60:190]) and low[1] <= plain_distance(odd[:40], odd[30:90])
+
+
+def test_against_all_pairs(spark):
+    """Every pair of document and item within the limit, by plain distances over whole texts, against what the operator finds."""
+    rng = random.Random(31)
+    items, say = passages(rng, 24)
+    items = [t[: rng.randrange(20, 200)].strip() for t in items]
+    texts = [say(rng.randrange(30)) + " " + D.edited(items[i % 24], rng.choice([0, 0.05, 0.1, 0.15, 0.2]), rng) + " " + say(rng.randrange(30)) for i in range(240)] + [say(60) for _ in range(30)]
+    want = {(k, i): d for k, t in enumerate(texts) for i, x in enumerate(items) if (d := plain_distance(D.plain(x), D.plain(t))) <= int(D.WITHIN * len(x))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([*enumerate(items), (70, items[0])], "item_id long, text string")
+    rows = D.contaminated(spark, df, bench).collect()
+    got = {(r.doc_id, r.item_id): r.distance for r in rows if r.item_id != 70}
+    assert got.items() <= want.items() and len(got) >= 0.97 * len(want) and len(rows) == len(got) + sum(i == 0 for _, i in got)
