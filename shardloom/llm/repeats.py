@@ -34,7 +34,9 @@ merge of suffixes.
 
 The same works over words (runs between white space, each known by a 64-bit hash) in place of
 bytes: a Cover says which, and how long a window is. WORDS finds passages of over 50 words however
-few bytes they have; bytes find long strings of few words.
+few bytes they have; bytes find long strings of few words. Where the words' cover follows the
+bytes', a name all of whose places lie inside removed bytes (with their windows and a word to
+either side) ends in its bucket: it would remove nothing more.
 """
 
 from __future__ import annotations
@@ -69,6 +71,7 @@ _HEAD = np.dtype([("name", "<u8"), ("key", "<i8"), ("pos", "<u4"), ("left", "<u2
 _FINE = np.dtype([("hash", "<u8"), ("key", "<i8"), ("pos", "<u4")])
 _SPAN = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 _FLAG = np.uint32(1 << 31)
+_COVERED = np.uint32(1 << 30)  # what the cover before removes anyway
 _MARK = np.uint32(0xFFFFFFFF)  # no place, but says that the name is hot
 _BASE = 0x5851F42D4C957F2D
 
@@ -122,9 +125,10 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Rows column by column: the first column is random and stays, the others hold runs and small numbers."""
+    """Rows column by column: the first column is random and stays; of the others, which hold runs and small steps, the differences go byte by byte."""
     head, *rest = x.dtype.names
-    return len(x).to_bytes(4, "little") + x[head].tobytes() + zlib.compress(b"".join(x[n].tobytes() for n in rest), 1)
+    steps = (np.diff(x[n], prepend=x.dtype[n].type(0)) for n in rest)
+    return len(x).to_bytes(4, "little") + x[head].tobytes() + zlib.compress(b"".join(s.view(np.uint8).reshape(len(x), s.itemsize).T.tobytes() for s in steps), 1)
 
 
 def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
@@ -136,7 +140,8 @@ def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
     more, at = zlib.decompress(data[at:]), 0
     for name in rest:
         size = n * kind[name].itemsize
-        out[name] = np.frombuffer(more[at : at + size], kind[name])
+        step = np.frombuffer(more[at : at + size], np.uint8).reshape(kind[name].itemsize, n).T
+        out[name] = np.cumsum(np.ascontiguousarray(step).view(kind[name]).ravel(), dtype=kind[name])
         at += size
     return out
 
@@ -182,27 +187,41 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _hot_apart(x: np.ndarray, bucket: np.ndarray, most: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of names that have more than `most` of them here are flagged and dealt by text; a mark stands for them in the name's bucket."""
+    """The places of names that have more than `most` of them here are flagged and dealt by text; a mark stands for them in the name's bucket. The others keep their order."""
     order = np.argsort(x["name"], kind="stable")
-    x, bucket = x[order], bucket[order]
-    first, count = runs(x["name"])
+    _, count = runs(x["name"][order])
     if not (count > most).any():
         return x, bucket
-    on = np.repeat(count > most, count)
+    on = np.zeros(len(x), bool)
+    on[order] = np.repeat(count > most, count)
     hot = np.unique(x[on])  # copies of a text say the same
     first, count = runs(hot["name"])
     still = np.repeat(count > most, count)
     home = lambda y: _bucket(mixed(y["name"].astype(np.uint64)), buckets)
     marks = hot[first[count > most]].copy()
     marks["key"], marks["pos"] = 0, _MARK
-    direct = hot[still]
+    direct = np.sort(hot[still], order=["key", "pos"])
     direct["pos"] |= _FLAG
     parts = [(x[~on], bucket[~on]), (hot[~still], home(hot[~still])), (marks, home(marks)), (direct, _bucket(mixed(direct["key"].astype(np.uint64)), buckets))]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def _named(buckets: int, cover: Cover, most: int = LOCAL):
-    """Texts to packed names of their sampled tuples."""
+def _inside(text: str, copies: int | None, spans: list[bytes] | None, cover: Cover):
+    """Of places of words: whether removed bytes hold all windows around them; None if no bytes go."""
+    data = text.encode("utf-8", "surrogatepass") if spans or copies else b""
+    gone = removed(len(data), copies, spans)
+    if not len(gone):
+        return None
+    at = _words(text)
+    # number of the removed run that holds a word whole, or one of its own
+    run = np.searchsorted(gone[:, 0], at[:, 0], "right") - 1
+    run = np.where((run >= 0) & (at[:, 1] <= gone[run, 1]), run, -1 - np.arange(len(at)))
+    first, last = np.arange(len(at)) - cover.period, np.arange(len(at)) + cover.window
+    return run[np.maximum(first, 0)] == run[np.minimum(last, len(at) - 1)]
+
+
+def _named(buckets: int, cover: Cover, most: int = LOCAL, after: bool = False):
+    """Texts to packed names of their sampled tuples; `after` another cover, places that it covers say so."""
 
     def run(batches):
         held, pieces, size = [], [], 0
@@ -213,10 +232,10 @@ def _named(buckets: int, cover: Cover, most: int = LOCAL):
             base, out = 0, []
             buffer = np.concatenate([p[0] for p in pieces])
             prints = Prints(buffer)
-            for data, key, start, at in pieces:
+            for data, key, start, at, covered in pieces:
                 x = np.empty(len(at), _NAME)
                 h = prints(at - start + base, cover.tuple)
-                x["name"], x["key"], x["pos"] = h & np.uint64(0xFFFFFFFF), key, at
+                x["name"], x["key"], x["pos"] = h & np.uint64(0xFFFFFFFF), key, at.astype(np.uint32) | covered
                 out.append((x, _bucket(mixed(h & np.uint64(0xFFFFFFFF)), buckets)))
                 base += len(data)
             pieces, size = [], 0
@@ -228,15 +247,17 @@ def _named(buckets: int, cover: Cover, most: int = LOCAL):
             return pa.RecordBatch.from_pydict({"bucket": pa.array([p[0] for p in parts], pa.int64()), "names": pa.array([_pack(p[1]) for p in parts], pa.binary())})
 
         for batch in batches:
-            for key, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            more = [batch.column(c).to_pylist() for c in (["_copies", "_spans"] if after else [])] or [[None] * batch.num_rows] * 2
+            for key, text, copies, spans in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist(), *more, strict=True):
                 data = cover.units(text)
                 if len(data) < cover.window:
                     continue
+                inside = _inside(text, copies, spans, cover)
                 for start in range(0, len(data), cover.piece):
                     at = cover.sampled(len(data), start + cover.piece, start)
                     if len(at):
                         piece = data[start : start + cover.piece + cover.tuple]
-                        pieces.append((piece, key, start, at))
+                        pieces.append((piece, key, start, at, 0 if inside is None else np.where(inside[at], _COVERED, np.uint32(0))))
                         size += len(piece)
                     if size >= cover.piece:
                         new = hashed()
@@ -261,6 +282,7 @@ def _active(most: int, cover: Cover):
         marked = np.unique(x["name"][x["pos"] == _MARK])
         flagged = x["pos"] & _FLAG > 0
         direct = x[flagged & (x["pos"] != _MARK)]
+        direct["pos"] &= ~_COVERED
         x = x[~flagged]
         x = x[np.argsort(x["name"], kind="stable")]
         first, count = runs(x["name"])
@@ -270,10 +292,12 @@ def _active(most: int, cover: Cover):
             x = x[np.concatenate([[True], x[1:] != x[:-1]])]
         first, count = runs(x["name"])
         if len(first):
+            open_ = ~np.logical_and.reduceat(x["pos"] & _COVERED > 0, first)
+            x["pos"] &= ~_COVERED
             residue = x["pos"] % cover.period
             least, last = np.minimum.reduceat(residue, first), np.maximum.reduceat(residue, first)
             known = np.isin(x["name"][first], marked)
-            keep = known | (count > 1) & ((least != last) | (least == cover.residues[0]))
+            keep = known | (count > 1) & open_ & ((least != last) | (least == cover.residues[0]))
             hot = np.repeat(keep & (known | (count > most)), count)
             x["pos"][hot] |= _FLAG
             x = x[np.repeat(keep, count)]
@@ -468,8 +492,10 @@ def repeated(spark: SparkSession, docs: DataFrame, text: str = "text", hot: int
     buckets = max(width(spark), -(-size // BUCKET_BYTES))
     rows = docs.drop("_copies", *spans_of(covers)).withColumn(text, whole(text)).withColumn("_key", F.xxhash64(text))
     marks = rows.groupBy("_key").agg(F.count("*").alias("_copies")).where("_copies > 1")
-    for said, cover in zip(spans_of(covers), covers, strict=True):
-        names = rows.select("_key", F.col(text).alias("text")).mapInArrow(lean(_named(buckets, cover, local)), "bucket long, names binary")
+    for k, (said, cover) in enumerate(zip(spans_of(covers), covers, strict=True)):
+        after = k == 1 and cover.word and not covers[0].word
+        source = rows.join(marks, "_key", "left").select("_key", F.col(text).alias("text"), "_copies", "_spans") if after else rows.select("_key", F.col(text).alias("text"))
+        names = source.mapInArrow(lean(_named(buckets, cover, local, after)), "bucket long, names binary")
         places = names.groupBy("bucket").applyInArrow(lean_group(_active(hot, cover)), "_key long, places binary").groupBy("_key").agg(F.collect_list("places").alias("places"))
         # all joins with the texts take whole rows, so that their shuffle is one and the same
         found = rows.join(places, "_key").mapInArrow(lean(_placed(buckets, text, cover)), "kind long, bucket long, a binary, b binary, _key long")
@@ -505,9 +531,9 @@ def _left(data: bytes, gone: np.ndarray) -> bytes:
 
 
 def _digest(batches, words: bool = False):
-    """Counts and digest of what the bytes' cover leaves; with `words` also how many words, and in how many runs, the words' cover finds."""
+    """Counts and digest of what the bytes' cover leaves; with `words` also how many bytes, and in how many runs, both covers remove."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 2 * words]
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["n_words_repeated", "n_word_spans"] * words]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["n_cut", "n_cut_spans"] * words]
     for b in batches:
         rows = []
         for text, copies, spans, more in zip(*(b.column(c).to_pylist() for c in ("text", "_copies", "_spans", "_spans1" if words else "_spans")), strict=True):
@@ -515,8 +541,8 @@ def _digest(batches, words: bool = False):
             gone = removed(len(data), copies, spans)
             rows.append((len(data), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), hashlib.sha256(_left(data, gone)).hexdigest()))
             if words:
-                own = removed(len(text.split()) if more or copies else 0, copies, more, WORDS.window)
-                rows[-1] += int((own[:, 1] - own[:, 0]).sum()), len(own)
+                both = _union([gone, _words_removed(text, copies, more, WORDS.window)])
+                rows[-1] += int((both[:, 1] - both[:, 0]).sum()), len(both)
         c = list(zip(*rows, strict=True)) or [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(c, kinds, strict=True))], names=names)
 
@@ -529,13 +555,18 @@ def _words_removed(text: str, copies: int | None, spans: list[bytes] | None, win
     """Runs of bytes from the first to the last word of each run of words that goes."""
     if not spans and not (copies and copies > 1):
         return np.zeros((0, 2), np.int64)
-    at = np.array([m.span() for m in _RUN.finditer(text)], np.int64).reshape(-1, 2)
+    at = _words(text)
     gone = removed(len(at), copies, spans, window)
-    ends = np.stack([at[gone[:, 0], 0], at[gone[:, 1] - 1, 1]], 1)
-    if not text.isascii():
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.concatenate([[0], np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))])[ends]
-    return ends
+    return np.stack([at[gone[:, 0], 0], at[gone[:, 1] - 1, 1]], 1)
+
+
+def _words(text: str) -> np.ndarray:
+    """First and last byte (exclusive) of each word."""
+    at = np.array([m.span() for m in _RUN.finditer(text)], np.int64).reshape(-1, 2)
+    if text.isascii():
+        return at
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))])[at]
 
 
 def _union(parts: list[np.ndarray]) -> np.ndarray:
@@ -573,7 +604,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", co
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What strings of 400 bytes remove; two more columns say what passages of over 50 words cover, which may have fewer bytes."""
+    """What strings of 400 bytes remove; n_cut bytes in n_cut_spans runs go if passages of over 50 words, which may have fewer bytes, go too."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = repeated(spark, docs, covers=(BYTES, WORDS)).select("doc_id", "text", "_copies", "_spans", "_spans1")
-    return found.mapInArrow(lean(_both_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_words_repeated long, n_word_spans long")
+    return found.mapInArrow(lean(_both_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_cut long, n_cut_spans long")

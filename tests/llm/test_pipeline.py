@@ -11,7 +11,7 @@ import corpus_pipeline
 from shardloom.llm import decontaminate, near_join, queries, toxicity
 from shardloom.llm.vocab import public
 
-from .test_repeats import brute, brute_cut
+from .test_repeats import brute, brute_cut, brute_gone
 
 
 @pytest.fixture(scope="module")
@@ -40,13 +40,8 @@ def test_op8(spark, small, docs):
     got = {r.doc_id: r for r in queries.QUERIES["op8_repeats"](spark, small).collect()}
     ids = sorted(docs)
     assert [tuple(got[i])[1:5] for i in ids] == brute([docs[i].text for i in ids])
-    words = {i: docs[i].text.split() for i in ids}
-    count = Counter(tuple(w[j : j + 51]) for w in words.values() for j in range(len(w) - 50))
-    for i, w in words.items():
-        gone = np.zeros(len(w) + 2, bool)
-        for j in range(len(w) - 50):
-            gone[j + 1 : j + 52] |= count[tuple(w[j : j + 51])] > 1
-        assert (got[i].n_words_repeated, got[i].n_word_spans) == (gone.sum(), (np.diff(gone.astype(int)) == 1).sum())
+    for i, (_, gone) in zip(ids, brute_gone([docs[i].text for i in ids]), strict=True):
+        assert (got[i].n_cut, got[i].n_cut_spans) == (gone.sum(), (np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
 
 
 def test_stages(spark, small):

@@ -27,14 +27,13 @@ def brute(texts):
     return out
 
 
-def brute_cut(texts):
-    """The texts without what the bytes' and the words' cover find, by counting all windows."""
+def brute_gone(texts):
+    """For each text its bytes, and which of them the bytes' and the words' cover find, by counting all windows."""
     data = [(t or "").encode() for t in texts]
     count = Counter(hashlib.blake2b(d[i : i + 400]).digest() for d in data for i in range(len(d) - 399))
-    words = [[(m.start(), m.end()) for m in re.finditer(rb"\S+", d)] if t is None or t.isascii() else [(len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in re.finditer(r"\S+", t)] for d, t in zip(data, texts, strict=True)]
+    words = [[(len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in re.finditer(r"\S+", t)] if not t.isascii() else [m.span() for m in re.finditer(r"\S+", t)] for t in ((t or "") for t in texts)]
     said = [[d[a:b] for a, b in w] for d, w in zip(data, words, strict=True)]
     seen = Counter(tuple(w[i : i + 51]) for w in said for i in range(len(w) - 50))
-    out = []
     for d, at, w in zip(data, words, said, strict=True):
         gone = np.zeros(len(d), bool)
         for i in range(len(d) - 399):
@@ -46,8 +45,11 @@ def brute_cut(texts):
                 lost[i + 1 : i + 52] = 1
         for a, b in zip(np.flatnonzero(np.diff(lost) == 1), np.flatnonzero(np.diff(lost) == -1), strict=True):  # runs of words
             gone[at[a][0] : at[b - 1][1]] = True
-        out.append(bytes(np.frombuffer(d, np.uint8)[~gone]).decode("utf-8", "ignore"))
-    return out
+        yield d, gone
+
+
+def brute_cut(texts):
+    return [bytes(np.frombuffer(d, np.uint8)[~gone]).decode("utf-8", "ignore") for d, gone in brute_gone(texts)]
 
 
 def corpus():
@@ -105,6 +107,29 @@ def test_clashing_columns(spark):
     assert R.repeated(spark, df).count() == len(texts)
 
 
+@pytest.mark.parametrize("local", [R.LOCAL, 1])
+def test_both_covers(spark, local):
+    """Short-worded copies with edits: words find what bytes leave, next to and across what bytes remove."""
+    rng = random.Random(17)
+    say = lambda k: [rng.choice("aeiouéñ") + rng.choice(["", "b", "zd", "qrstuvw"]) for _ in range(k)]
+    base = say(900)
+    texts = []
+    for i in range(50):
+        own = base[rng.randrange(200) :][: rng.randrange(60, 500)]
+        for _ in range(rng.randrange(8)):
+            own[rng.randrange(len(own))] = "edit"
+        texts.append((" " if i % 2 else "\n  ").join(say(rng.randrange(30)) + own + say(rng.randrange(30))))
+    texts += [texts[3], None, " ".join(base[:51]), " ".join(base[:51]), "x " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = R.repeated(spark, df, covers=(R.BYTES, R.WORDS), local=local)
+    got = {r.doc_id: r for r in found.select("doc_id", "text", "_copies", "_spans", "_spans1").mapInArrow(R._both_digests, DIGEST + ", n_cut long, n_cut_spans long").collect()}
+    more = 0
+    for i, (_, gone) in enumerate(brute_gone(texts)):
+        more += gone.sum() > got[i].n_removed
+        assert (got[i].n_cut, got[i].n_cut_spans) == (gone.sum(), (np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), i
+    assert more > 10
+
+
 def test_word_cover():
     c = R.WORDS
     assert len({(a - b) % c.period for a in c.residues for b in c.residues}) == c.period <= c.window == 51
