@@ -125,10 +125,10 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Rows column by column: the first column is random and stays; of the others, which hold runs and small steps, the differences go byte by byte."""
+    """Rows column by column: the first column is random and stays, keys come in runs, and the others are small numbers, taken byte by byte."""
     head, *rest = x.dtype.names
-    steps = (np.diff(x[n], prepend=x.dtype[n].type(0)) for n in rest)
-    return len(x).to_bytes(4, "little") + x[head].tobytes() + zlib.compress(b"".join(s.view(np.uint8).reshape(len(x), s.itemsize).T.tobytes() for s in steps), 1)
+    cols = (x[n].tobytes() if n == "key" else np.frombuffer(x[n].tobytes(), np.uint8).reshape(len(x), x[n].itemsize).T.tobytes() for n in rest)
+    return len(x).to_bytes(4, "little") + x[head].tobytes() + zlib.compress(b"".join(cols), 1)
 
 
 def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
@@ -139,10 +139,10 @@ def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
     out[head] = np.frombuffer(data[4:at], kind[head])
     more, at = zlib.decompress(data[at:]), 0
     for name in rest:
-        size = n * kind[name].itemsize
-        step = np.frombuffer(more[at : at + size], np.uint8).reshape(kind[name].itemsize, n).T
-        out[name] = np.cumsum(np.ascontiguousarray(step).view(kind[name]).ravel(), dtype=kind[name])
-        at += size
+        size = kind[name].itemsize
+        col = np.frombuffer(more[at : at + n * size], np.uint8)
+        out[name] = np.frombuffer(col.tobytes() if name == "key" else col.reshape(size, n).T.tobytes(), kind[name])
+        at += n * size
     return out
 
 
