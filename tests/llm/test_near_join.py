@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shardloom.llm import near_join as J
 from shardloom.llm.common import components
@@ -46,8 +47,9 @@ def brute(rows):
     return sets, link, list(members.values())
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_against_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "size"), [(1024, J.BLOCK_BYTES), (16, J.BLOCK_BYTES), (1024, 3000)])
+def test_against_all_pairs(spark, monkeypatch, block, size):
+    monkeypatch.setattr(J, "BLOCK_BYTES", size)
     rows = corpus()
     sets, link, groups = brute(rows)
     want = Counter()
@@ -82,6 +84,52 @@ def test_one_of_each_stays(spark):
 def test_depth_keeps_recall():
     d = J.first_depth(J.THRESHOLD, J.RECALL)
     assert J.met(J.THRESHOLD, d) >= J.RECALL > J.met(J.THRESHOLD, d + 1)
+    high, low = np.zeros(J.BINS), np.zeros(J.BINS)
+    high[-1], low[0] = 10_000, 10_000
+    assert J.enough(high, J.DEPTH, J.THRESHOLD, J.RECALL) and not J.enough(low, J.DEPTH, J.THRESHOLD, J.RECALL)
+    assert not J.enough(np.zeros(J.BINS), J.DEPTH, J.THRESHOLD, J.RECALL) and J.enough(low, d, J.THRESHOLD, J.RECALL)
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
+    """Links of one kind each: sure ones are all found at full length, those at the threshold need shorter prefixes."""
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    for edits in (0, 4):
+        texts = []
+        for _ in range(400):
+            own = rng.choices(words, k=206)
+            other = list(own) if edits else [*own, rng.choice(words)]
+            for k in range(edits):  # 5 shingles each, of 202: a similarity of 0.82
+                other[25 + 50 * k] = "zz"
+            texts += [" ".join(own), " ".join(other)]
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_text", F.xxhash64("text"))
+        _, links, depth = J.forest(spark, rows, J.THRESHOLD, J.RECALL, J.N, J.BLOCK)
+        assert links.agg(F.sum("links")).first()[0] >= 2 * 400 * J.RECALL - 4
+        assert depth == J.DEPTH if not edits else depth < J.DEPTH
+
+
+def test_tries_against_all_strings(spark):
+    """The longest prefix that a string shares with any other of its tree, over partitions of a few rows."""
+    rng = random.Random(15)
+    step, rows = J.DEPTH * J.LEVEL, []
+    for i in range(90):
+        forest = [bytes(rng.choice(b"ab") if k % 2 else 0 for k in range(step)) for _ in range(J.TREES)]
+        rows.append((i.to_bytes(2, "big"), 1, bytearray(b"".join(forest))))
+    want = {}
+    for t in range(J.TREES):
+        own = [(c, bytes(f[t * step : t * step + step])) for c, _, f in rows]
+        for c, s in own:
+            n = max(next((k // J.LEVEL for k in range(step) if s[k] != x[k]), J.DEPTH) for d, x in own if d != c)
+            if n >= 3:
+                want[c, t] = n
+    df = spark.createDataFrame(rows, "class binary, size long, forest binary")
+    for parts in (1, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        got = {(bytes(r["class"]), r.tree): r.deepest for r in J.trie(spark, df, 3).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+        assert got == want
 
 
 def test_components(spark):
