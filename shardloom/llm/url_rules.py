@@ -1,21 +1,24 @@
 """URL filtering by association rules, under explicit rules for hosts and paths.
 
 FP-growth mines combinations of URL tokens together with the label of a page; rules whose
-consequent is the label and that reach the support and confidence become block rules. Their
-number is bounded by the support, not by the input. Pages find them through an inverted
-index: each rule stands under its rarest token, the page's tokens are joined with that index,
-and a rule fires if the page has all its tokens.
+consequent is the label and that reach the support and confidence become block rules. Only tokens
+that reach the support on bad pages can be part of one, and tokens that stand on the very same
+labelled pages count as one (a rule with any of them says what a rule with all of them says), so
+that long stretches that a family of URLs shares do not multiply. Pages find the rules through an
+inverted index: each rule stands under that of its tokens which the fewest pages have, the page's
+tokens are joined with that index, and a rule fires if the page has all its tokens.
 
 A null URL, or one without `://`, has an empty host and path; its tokens are still matched (null
 has none). Labels: repeated rows of a page count once, as bad if any is bad; null label values
 are not bad. With no labels there are no mined rules. Every page row gives one row; repeated
-page ids each get their own.
+page ids each get their own. Empty tables give an empty result, or no mined rules. Other columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -40,37 +43,55 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(found, lambda x: x != ""), lambda x: F.when(x.rlike("^[0-9]+$"), F.lit("0")).otherwise(x)))
 
 
-def mined(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """tokens, confidence and support of the rules tokens -> bad; none that adds tokens to one at least as sure.
+def merged(pages: DataFrame, labels: DataFrame, min_support: float) -> DataFrame:
+    """token, stands_for: the tokens that may be part of a rule, and for each the least token of those on the same labelled pages.
 
-    pages: page_id, url. labels: doc_id, bad.
+    At most (tokens of a URL) / min_support rows, whatever the number of pages.
     """
+    known = _known(pages, labels).select("page_id", "bad", F.explode(tokens(F.col("url"))).alias("token"))
+    least = min_support * _known(pages, labels).count()
+    each = known.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("page_id").cast("decimal(38,0)")).alias("of"), F.count_if("bad").alias("bad")).where((F.col("bad") >= least) & (F.col("bad") > 0))
+    return each.select("token", F.min("token").over(Window.partitionBy("of", "n")).alias("stands_for"))
+
+
+def _known(pages: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.groupBy("doc_id").agg(F.max(F.coalesce("bad", F.lit(False))).alias("bad"))
-    seen = pages.join(known, pages.page_id == known.doc_id).select(F.array_union(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    return pages.select("page_id", "url").join(known, F.col("page_id") == F.col("doc_id"))
+
+
+def mapped(found: Column, same: dict[str, str]) -> Column:
+    """Tokens by what they stand for; others fall out."""
+    if not same:
+        return F.array().cast("array<string>")
+    names = F.create_map(*(F.lit(x) for pair in sorted(same.items()) for x in pair))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: F.try_element_at(names, t)), lambda t: t.isNotNull()))
+
+
+def mined(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, same: dict[str, str]) -> DataFrame:
+    """rule_id, tokens, confidence and support of the rules tokens -> bad.
+
+    pages: page_id, url. labels: doc_id, bad. same: what tokens stand for, see merged().
+    """
+    seen = _known(pages, labels).select(F.array_union(mapped(tokens(F.col("url")), same), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(seen).associationRules
     rules = rules.where(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = rules.withColumn("rule_id", F.xxhash64("tokens"))
-    return rules
+    return rules.withColumn("rule_id", F.xxhash64("tokens"))
 
 
 def pruned(rules: DataFrame) -> DataFrame:
     """Without the rules that only add tokens to another that is at least as sure."""
-    wide = rules.where(F.size("tokens") > 1)
-    # every smaller set of a rule's tokens with one token less; larger gaps follow as each step in between is frequent too
-    less = wide.select("rule_id", "confidence", F.explode(F.expr("transform(sequence(0, size(tokens) - 1), i -> xxhash64(filter(tokens, (x, j) -> j != i)))")).alias("parent"))
-    known = rules.select(F.col("rule_id").alias("parent"), F.col("confidence").alias("sure"))
-    drop = less.join(known, "parent").where("sure >= confidence").select("rule_id").distinct()
-    return rules.join(drop, "rule_id", "left_anti")
+    wide = rules.where(F.size("tokens") > 1).select(F.col("rule_id").alias("wide"), F.col("tokens").alias("all"), F.col("confidence").alias("own"), F.explode("tokens").alias("token"))
+    small = rules.select(F.col("tokens")[0].alias("token"), F.col("tokens").alias("need"), F.col("confidence").alias("sure"))
+    drop = wide.join(small, "token").where((F.size("need") < F.size("all")) & (F.col("sure") >= F.col("own")) & (F.size(F.array_except("need", "all")) == 0))
+    return rules.join(drop.select(F.col("wide").alias("rule_id")).distinct(), "rule_id", "left_anti")
 
 
-def matched(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+def matched(pages: DataFrame, rules: DataFrame, key: str, same: dict[str, str]) -> DataFrame:
     """key, confidence, n_rules: the best of the rules whose tokens a page has all."""
+    has = pages.select(key, mapped(tokens(F.col("url")), same).alias("tokens")).withColumn("token", F.explode("tokens"))
+    share = has.groupBy("token").count()
     each = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token"))
-    share = each.groupBy("token").count()
-    from pyspark.sql import Window
-
-    rarest = each.join(share, "token").withColumn("k", F.row_number().over(Window.partitionBy("rule_id").orderBy("count", "token"))).where("k = 1").select("token", F.col("tokens").alias("need"), "confidence")
-    has = pages.select(key, tokens(F.col("url")).alias("tokens")).withColumn("token", F.explode("tokens"))
+    rarest = each.join(share, "token", "left").withColumn("k", F.row_number().over(Window.partitionBy("rule_id").orderBy("count", "token"))).where("k = 1").select("token", F.col("tokens").alias("need"), "confidence")
     hits = has.join(rarest, "token").where(F.size(F.array_except("need", "tokens")) == 0)
     return hits.groupBy(key).agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_rules"))
 
@@ -91,9 +112,10 @@ def url_filter(spark: SparkSession, pages: DataFrame, labels: DataFrame, min_sup
     pages: page_id, url. labels: doc_id, bad (boolean).
     """
     urls = pages.select("page_id", "url")
-    found = written(spark, pruned(mined(urls, labels, min_support, min_confidence)), "rules")
+    same = {r["token"]: r["stands_for"] for r in merged(urls, labels, min_support).collect()}
+    found = written(spark, pruned(mined(urls, labels, min_support, min_confidence, same)), "rules")
     # equal urls are matched once
-    hits = matched(urls.select("url").distinct(), found, "url")
+    hits = matched(urls.select("url").distinct(), found, "url", same)
     out = urls.join(hits, "url", "left")
     rule, verdict = explicit(host(F.col("url")), path(F.col("url")), rules)
     return out.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), rule.alias("rule"), F.coalesce(verdict, F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence", F.coalesce("n_rules", F.lit(0)).alias("n_rules"))

@@ -217,3 +217,13 @@ def test_against_all_pairs(spark):
     rows = D.contaminated(spark, df, bench).collect()
     got = {(r.doc_id, r.item_id): r.distance for r in rows if r.item_id != 70}
     assert got.items() <= want.items() and len(got) >= 0.97 * len(want) and len(rows) == len(got) + sum(i == 0 for _, i in got)
+
+
+def test_long_families_do_not_multiply(spark):
+    """30 tokens that always stand together would make 2**30 frequent sets; any one of them tells new pages as well as all."""
+    long = "/".join(f"part{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(30))
+    pages = [(i, f"http://a.org/{long}/{i}") for i in range(60)] + [(100 + i, f"http://b.org/fine/{i}") for i in range(60)] + [(900, "http://c.net/partc/1"), (901, "http://c.net/else/1")]
+    labels = [(i, True) for i in range(60)] + [(100 + i, False) for i in range(60)]
+    p, y = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, bad boolean")
+    out = {r.page_id: r.verdict for r in U.url_filter(spark, p, y, 0.02, 0.7).collect()}
+    assert out == {i: "block" if i < 60 or i == 900 else "allow" for i, _ in pages}
