@@ -12,9 +12,12 @@ period needs no more than one level of names.
    the pairs meet there as well. A name with more than LOCAL places among those that a task holds at a time
    is settled as repeated there: its places go straight to their texts, and only a mark goes to
    the name's bucket. Buckets are as many as the texts' bytes ask for.
-2. What stays joins its text. A place brings the V - 1 bytes before it and the WINDOW bytes from
-   it: all windows that begin in the period before the place. Sorted by name, these remaining
-   starts are merged, and neighbours with equal windows mark each other.
+2. What stays joins its text. A place stands for the V - 1 bytes before it and the WINDOW bytes
+   from it, its context: all windows that begin in the period before the place. First only a
+   fingerprint of the context goes to the name's bucket. Places with equal contexts are settled,
+   and one of each different context stays if there are several. These bring the contexts
+   themselves: sorted by name, the remaining starts are merged, and neighbours with equal windows
+   mark each other. So what is sent follows the number of different contexts, not of copies.
    A name with more than HOT places would bring its whole group to one task. Its starts are
    named by whole windows instead, which spread over all buckets, and equal ones in a task are
    merged before they are sent.
@@ -66,6 +69,7 @@ BUCKET_BYTES, HELD_NAMES, HELD_PIECES = 32 << 20, 1 << 21, 4
 
 _NAME = np.dtype([("name", "<u4"), ("key", "<i8"), ("pos", "<u4")])
 _HEAD = np.dtype([("name", "<u8"), ("key", "<i8"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2")])
+_SEEN = np.dtype([("name", "<u4"), ("context", "<u8"), ("key", "<i8"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2")])
 _FINE = np.dtype([("hash", "<u8"), ("key", "<i8"), ("pos", "<u4")])
 _SPAN = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 _FLAG = np.uint32(1 << 31)
@@ -320,8 +324,8 @@ def _merged_by(h: np.ndarray, key: np.ndarray, pos: np.ndarray, weak: np.ndarray
     return shared, lead
 
 
-def _placed(buckets: int, text: str, cover: Cover):
-    """Texts with their active places to contexts, whole windows of hot names, and what is settled here."""
+def _placed(buckets: int, text: str, cover: Cover, whole_contexts: bool):
+    """Texts with their active places to contexts or fingerprints of them, whole windows of hot names, and what is settled here or was before."""
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
     def run(batches):
@@ -357,11 +361,19 @@ def _placed(buckets: int, text: str, cover: Cover):
             if len(x):
                 x["name"] = prints(at, cover.tuple)
                 begin, n = at - x["left"], x["left"].astype(np.int64) + x["right"]
-                same, lead = _merged_by(mixed(prints(begin, n) + x["left"]) + n.astype(np.uint64), x["key"], x["pos"])
+                context = mixed(prints(begin, n) + x["left"]) + n.astype(np.uint64)
+                same, lead = _merged_by(context, x["key"], x["pos"])
                 settle(x["key"][same], (x["pos"].astype(np.int64) - x["left"])[same], (x["pos"].astype(np.int64) + x["right"] - cover.window)[same], rows)
-                x, begin, n = x[lead], begin[lead], n[lead]
+                x, begin, n, context = x[lead], begin[lead], n[lead], context[lead]
                 order = np.arange(len(x))
                 for b, own in _dealt(order, _bucket(x["name"], buckets)):
+                    if not whole_contexts:
+                        y = np.empty(len(own), _SEEN)
+                        y["name"], y["context"] = x["name"][own] & np.uint64(0xFFFFFFFF), context[own]
+                        for c in ("key", "pos", "left", "right"):
+                            y[c] = x[c][own]
+                        rows.append((0, b, _pack(y), None, None))
+                        continue
                     k = np.repeat(begin[own], n[own]) + spread(n[own])
                     rows.append((0, b, _pack(x[own]), _shut(buffer[k]), None))
             if fine:
@@ -381,9 +393,14 @@ def _placed(buckets: int, text: str, cover: Cover):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "bucket", "a", "b", "_key"])
 
         for batch in batches:
-            for key, said, places in zip(batch.column("_key").to_pylist(), batch.column(text).to_pylist(), batch.column("places").to_pylist(), strict=True):
+            settled = batch.column("spans").to_pylist() if whole_contexts else [()] * batch.num_rows
+            for key, said, places, spans in zip(batch.column("_key").to_pylist(), batch.column(text).to_pylist(), batch.column("places").to_pylist(), settled, strict=True):
                 if key in seen:
                     continue
+                out += ((2, key % buckets, x, None, key) for x in spans)
+                if not places:
+                    seen.add(key)
+                    continue
                 seen.add(key)
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -411,6 +428,38 @@ def _placed(buckets: int, text: str, cover: Cover):
     return run
 
 
+def _split(cover: Cover):
+    """Of one bucket of fingerprints of contexts: spans that are settled, and a place of each context that is not the only one of its name."""
+    starts = _starts(cover)
+
+    def run(group: pa.Table) -> pa.Table:
+        if group.column("kind")[0].as_py():
+            out = starts(group)
+            return pa.table({"_key": out.column("_key"), "spans": out.column("spans"), "places": pa.nulls(out.num_rows, pa.binary())})
+        x = np.concatenate([_unpack(b, _SEEN) for b in group.column("a").to_pylist()])
+        x = x[np.lexsort((x["pos"], x["key"], x["context"], x["name"]))]
+        x = x[np.concatenate([[True], (x[1:] != x[:-1])])] if len(x) else x
+        name, context = (np.concatenate([[True], x[c][1:] != x[c][:-1]]) if len(x) else np.zeros(0, bool) for c in ("name", "context"))
+        first = np.flatnonzero(name | context)
+        count = np.diff(np.concatenate([first, [len(x)]]))
+        same = np.repeat(count > 1, count)
+        own = np.flatnonzero(name)[np.cumsum(name) - 1] if len(x) else first  # where each one's name begins
+        _, contexts = runs(own[first])
+        many = np.repeat(contexts > 1, contexts)
+        lead = x[first[many]]
+        start = x["pos"].astype(np.int64) - x["left"]
+        keys, spans = _spans_of(x["key"][same], start[same], (x["pos"].astype(np.int64) + x["right"] - cover.window)[same])
+        lead = lead[np.argsort(lead["key"], kind="stable")]
+        at, n = runs(lead["key"])
+        places = [lead["pos"][i : i + k].tobytes() for i, k in zip(at.tolist(), n.tolist(), strict=True)]
+        return pa.table({
+            "_key": pa.concat_arrays([pa.array(keys, pa.int64()), pa.array(lead["key"][at], pa.int64())]),
+            "spans": pa.array([*spans, *[None] * len(places)], pa.binary()), "places": pa.array([*[None] * len(keys), *places], pa.binary()),
+        })
+
+    return run
+
+
 def _starts(cover: Cover):
     """Starts whose windows occur elsewhere, from one bucket of contexts, of windows, or of what is settled."""
 
@@ -474,7 +523,11 @@ def repeated(spark: SparkSession, docs: DataFrame, text: str = "text", hot: int
         names = rows.select("_key", F.col(text).alias("text")).mapInArrow(lean(_named(buckets, cover, local)), "bucket long, names binary")
         places = names.groupBy("bucket").applyInArrow(lean_group(_active(hot, cover)), "_key long, places binary").groupBy("_key").agg(F.collect_list("places").alias("places"))
         # all joins with the texts take whole rows, so that their shuffle is one and the same
-        found = rows.join(places, "_key").mapInArrow(lean(_placed(buckets, text, cover)), "kind long, bucket long, a binary, b binary, _key long")
+        kinds = "kind long, bucket long, a binary, b binary, _key long"
+        found = rows.join(places, "_key").mapInArrow(lean(_placed(buckets, text, cover, False)), kinds)
+        known = found.groupBy("kind", "bucket").applyInArrow(lean_group(_split(cover)), "_key long, spans binary, places binary")
+        known = known.groupBy("_key").agg(F.collect_list("spans").alias("spans"), F.collect_list("places").alias("places"))
+        found = rows.join(known, "_key").mapInArrow(lean(_placed(buckets, text, cover, True)), kinds)
         spans = found.groupBy("kind", "bucket").applyInArrow(lean_group(_starts(cover)), "_key long, spans binary").groupBy("_key").agg(F.collect_list("spans").alias(said))
         marks = spans.join(marks, "_key", "full")
     return rows.join(marks, "_key", "left")
