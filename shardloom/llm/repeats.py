@@ -35,7 +35,7 @@ their names are; of `repeated` alone, columns called _key, _copies or _spans are
 In place of ranks, names are hashes, and only equal windows need to meet, so there is no ordered
 merge of suffixes.
 
-The same works over words (runs between white space, each known by a 64-bit hash) in place of
+The same works over words (runs between white space, each known by a 40-bit hash) in place of
 bytes: a Cover says which, and how long a window is. WORDS finds passages of over 50 words however
 few bytes they have; bytes find long strings of few words.
 """
@@ -77,7 +77,8 @@ _MARK = np.uint32(0xFFFFFFFF)  # no place, but says that the name is hot
 _BASE = 0x5851F42D4C957F2D
 
 
-_WORD = Memo(lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+_WORD_BYTES = 5
+_WORD = Memo(lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=_WORD_BYTES).digest(), "little"))
 _RUN = re.compile(r"\S+")
 
 
@@ -152,14 +153,17 @@ def _shut(x: np.ndarray) -> bytes:
     if x.dtype == np.uint8:
         return zlib.compress(x.tobytes(), 1)
     each, at = np.unique(x, return_inverse=True)
-    return len(each).to_bytes(4, "little") + each.tobytes() + zlib.compress(at.astype("<u4").tobytes(), 1)
+    return len(each).to_bytes(4, "little") + np.ascontiguousarray(each.view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES]).tobytes() + zlib.compress(at.astype("<u4").tobytes(), 1)
 
 
 def _opened(data: bytes, word: bool) -> np.ndarray:
     if not word:
         return np.frombuffer(zlib.decompress(data), np.uint8)
-    end = 4 + 8 * int.from_bytes(data[:4], "little")
-    return np.frombuffer(data[4:end], np.uint64)[np.frombuffer(zlib.decompress(data[end:]), "<u4")]
+    n = int.from_bytes(data[:4], "little")
+    end = 4 + _WORD_BYTES * n
+    each = np.zeros((n, 8), np.uint8)
+    each[:, :_WORD_BYTES] = np.frombuffer(data[4:end], np.uint8).reshape(n, _WORD_BYTES)
+    return each.view(np.uint64).ravel()[np.frombuffer(zlib.decompress(data[end:]), "<u4")]
 
 
 class Prints:
