@@ -103,9 +103,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read again: its lineage is cut and a lost executor costs no recomputation."""
-    path = f"{shared_dir(spark)}/shardloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/shardloom-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.__dict__["_written_to"] = folder
+    return out
+
+
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Delete what written() made, once nothing that is still to be computed reads it. What no one discards stays until the shared folder is cleared."""
+    if folder := df.__dict__.get("_written_to"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def width(spark: SparkSession) -> int:
@@ -172,7 +181,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     e = written(spark, e, "edges")
     was, now = None, state(e)
     while was != now:
-        e = written(spark, stars(stars(e, False), True), "edges")
+        e, old = written(spark, stars(stars(e, False), True), "edges"), e
         was, now = now, state(e)
+        discard(spark, old)
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, fresh, lean, mixed, rows_of, runs, table, whole, written
+from .common import bounded_batches, components, discard, fresh, lean, mixed, rows_of, runs, table, whole, written
 from .vocab import Memo
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.995
@@ -301,7 +301,9 @@ def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame, tries: Data
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("class", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     work = pairs.join(texts, "class").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-    return written(spark, work.mapInArrow(lean(_verified(threshold, n)), _LINKED), "links")
+    out = written(spark, work.mapInArrow(lean(_verified(threshold, n)), _LINKED), "links")
+    discard(spark, member)
+    return out
 
 
 def forest(spark: SparkSession, rows: DataFrame, threshold: float, recall: float, n: int, block: int) -> tuple[DataFrame, DataFrame, int]:

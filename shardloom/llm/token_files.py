@@ -10,6 +10,8 @@ Files are Parquet, written by Spark with one block a row, so a lost executor lea
 file. Documents stand in ascending order of (id, hash of the text): `part` numbers the ranges,
 `block` the blocks in one. Null texts are empty and hold only the end id; null document ids
 come first; repeated ids are separate documents. No documents give no blocks.
+Other columns, whatever their names, are left out. `read_range` decodes a stretch of the whole
+sequence of ids: of a block it unpacks only the words from the last offset before the stretch on.
 """
 
 from __future__ import annotations
@@ -208,9 +210,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
     bounded_batches(spark)
     files = spark.read.schema(SCHEMA).parquet(path)
-    totals = sorted(files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # one row for each range of documents
-    before = np.cumsum([0, *(r["n"] for r in totals)]).tolist()
-    base = spark.createDataFrame([(r["part"], b) for r, b in zip(totals, before, strict=False)], "part long, base long")
+    base = spark.createDataFrame(_bases(files), "part long, base long")
     docs = files.mapInArrow(lean(_checked), "part long, doc_id long, place long, n_tokens long, ids_crc32 long")
     return docs.join(base, "part").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -229,6 +229,44 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path).mapInArrow(lean(_spans), "doc_id long, token_ids array<long>")
 
 
+def _bases(files: DataFrame) -> list[tuple[int, int]]:
+    """Ids before each part, which is a range of documents: a row for each."""
+    totals = sorted(files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    before = np.cumsum([0, *(r["n"] for r in totals)]).tolist()
+    return [(r["part"], b) for r, b in zip(totals, before, strict=False)]
+
+
+def stretch(words: np.ndarray, before: np.ndarray, n: int, lo: int, hi: int) -> np.ndarray:
+    """Ids [lo, hi) of a block of n ids, from its words and offsets; words outside are not looked at."""
+    lo, hi = max(lo, 0), min(hi, n)
+    if lo >= hi:
+        return np.zeros(0, np.uint64)
+    a = int(np.searchsorted(before, lo, "right")) - 1
+    b = int(np.searchsorted(before, hi, "left"))
+    own = words[a * EVERY : b * EVERY]
+    first = int(before[a])
+    if a and int(_raw(words[: a * EVERY + 1])[-1]):  # an escape's second word; its id counts before
+        own = own[1:]
+    if b * EVERY < len(words) and len(own) and own[-1] >> np.uint64(60) == 0:
+        own = np.append(own, words[b * EVERY])
+    return unpacked(own, (int(before[b]) if b < len(before) else n) - first)[lo - first : hi - first]
+
+
+def read_range(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """start, ids: ids [start, end) of all documents end to end, in rows of neighbours; other blocks are not read."""
+    bounded_batches(spark)
+    files = spark.read.schema(SCHEMA).parquet(path)
+    base = spark.createDataFrame(_bases(files), "part long, base long")
+    near = files.join(F.broadcast(base), "part").withColumn("from", F.col("base") + F.col("first")).where((F.col("from") < end) & (F.col("from") + F.col("n_ids") > start))
+
+    def run(batches):
+        for n, words, before, at in rows_of(batches, ("n_ids", "words", "offsets", "from")):
+            ids = stretch(np.frombuffer(words, np.uint64), np.frombuffer(before, np.int32), n, start - at, end - at)
+            yield pa.RecordBatch.from_arrays([pa.array([max(start, at)], pa.int64()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], names=["start", "ids"])
+
+    return near.select("n_ids", "words", "offsets", "from").mapInArrow(lean(run), "start long, ids array<long>")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{shared_dir(spark)}/shardloom-{uuid.uuid4().hex}/tokens"
     write_tokens(spark, table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), to)

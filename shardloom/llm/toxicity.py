@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other; the linear model of each sees, besides the words
-of the text, the log-odds of the categories before it. While training, those are out-of-fold:
+of the text, the probabilities of the categories before it. While training, those are out-of-fold:
 each row's come from models that did not see it, so that later links learn to trust earlier
 ones as far as they deserve on new texts. Scoring uses models fitted on all training rows.
 
@@ -12,7 +12,8 @@ of words with weights, bounded by what the sample holds.
 Features are words (runs of word characters in lower case) and the first characters of longer
 words, each taken once a text. Null and empty texts have none. Repeated labels of a document count once, at their maximum; null labels count as 0.
 Without labels, or with labels of one kind only, a category's probability is its share (0
-without labels) for all. Null ids and repeated rows are scored like others.
+without labels) for all. Null ids and repeated rows are scored like others. An empty table gives an
+empty result; other columns stay, unless they bear the name of a probability, which they yield to.
 """
 
 from __future__ import annotations
@@ -124,6 +125,10 @@ def _odds(x: Rows, words: np.ndarray, w: np.ndarray, extra: np.ndarray) -> np.nd
     return np.clip(np.bincount(x.row, weight[x.col], minlength=x.n) + extra @ w[len(words) : -1] + w[-1], -20, 20)
 
 
+def _probability(odds):
+    return 1 / (1 + np.exp(-odds))
+
+
 def train(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> dict:
     """The chain's model. labels: a row for each text, a column of 0 and 1 for each category, in the chain's order."""
     x = Rows(texts)
@@ -134,7 +139,7 @@ def train(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> dict:
         held = np.zeros(x.n)
         for k in range(folds):
             use = fold != k
-            held[~use] = _odds(x, *_fit(x, use, y, before), before)[~use]
+            held[~use] = _probability(_odds(x, *_fit(x, use, y, before), before))[~use]
         words, w = _fit(x, np.ones(x.n, bool), y, before)
         links.append({"words": {x.words[i]: float(v) for i, v in zip(words, w, strict=False)}, "before": w[len(words) : -1].tolist(), "bias": float(w[-1])})
         before = np.column_stack([before, held])
@@ -155,11 +160,11 @@ class Chain:
         """Probability of each category."""
         get = self.weights.get
         found = [v for w in features(text) if (v := get(w))]
-        odds: list[float] = []
+        out: list[float] = []
         for k, link in enumerate(self.links):
-            own = sum(v[k] for v in found) + sum(a * b for a, b in zip(link["before"], odds, strict=True)) + link["bias"]
-            odds.append(max(-20.0, min(20.0, own)))
-        return [1 / (1 + float(np.exp(-x))) for x in odds]
+            odds = sum(v[k] for v in found) + sum(a * b for a, b in zip(link["before"], out, strict=True)) + link["bias"]
+            out.append(float(_probability(max(-20.0, min(20.0, odds)))))
+        return out
 
 
 def _trained(names: list[str], folds: int):

@@ -11,7 +11,7 @@ cannot spell is unknown. Both are left out unless asked for (`spell`), as op6 do
 
 Words are runs of word characters; every other character that is not white space is a word.
 Null texts are empty and count 0. Texts and words may be of any length. An empty table gives an
-empty result.
+empty result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -36,6 +36,42 @@ def test_runs(spark, small, name):
     assert out.count() and len(set(out.columns)) == len(out.columns)
 
 
+def test_op2(spark, small, docs):
+    """All pairs of the table."""
+    got = {r.doc_id: (r.class_id, r.n_links) for r in queries.QUERIES["op2_near_join"](spark, small).collect()}
+    sets = {i: near_join.shingles(r.text) for i, r in docs.items()}
+    group, links = {i: i for i in docs}, Counter()
+    for a in docs:
+        for b in docs:
+            if a < b and len(sets[a]) and len(sets[b]) and 0.8 <= min(len(sets[a]), len(sets[b])) / max(len(sets[a]), len(sets[b])):
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+                    links.update((a, b))
+                    x, y = sorted((group[a], group[b]))
+                    group = {i: x if g == y else g for i, g in group.items()} if x != y else group
+    assert got == {i: (group[i], links[i]) for i in docs} and len(set(group.values())) < len(docs)
+
+
+def test_op4(spark, small, docs):
+    """Rejected documents are labelled toxic ones; few of these stay."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in queries.QUERIES["op4_toxicity"](spark, small).collect()}
+    assert set(got) == set(docs) and all(0 <= r.p_toxic <= 1 and r.rejected == (r.p_toxic >= toxicity.REJECT) for r in got.values())
+    right = [got[i].rejected == bool(t) for i, t in labels.items() if i in got]
+    assert sum(right) >= 0.95 * len(right)
+
+
+def test_op10(spark, small, docs):
+    """Exact copies of items by search; every distance found is that of the whole text, and within the limit."""
+    items = {r.item_id: decontaminate.plain(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): r.distance for r in queries.QUERIES["op10_decontaminate"](spark, small).collect()}
+    plain = {i: decontaminate.plain(r.text or "") for i, r in docs.items()}
+    assert {(d, i) for d, t in plain.items() for i, x in items.items() if x and x in t} == {k for k, n in got.items() if not n}
+    for (d, i), n in got.items():
+        most = int(decontaminate.WITHIN * len(items[i]))
+        assert n == decontaminate.distance(items[i], plain[d], most) <= most
+
+
 def test_op8(spark, small, docs):
     got = {r.doc_id: r for r in queries.QUERIES["op8_repeats"](spark, small).collect()}
     ids = sorted(docs)

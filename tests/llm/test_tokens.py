@@ -90,6 +90,22 @@ def test_words_of_ids(ids):
             assert (token_files.unpacked(part, len(x) - before) == x[before:]).all()
 
 
+@lru_cache(1)
+def whole_of(spark, path):
+    """All ids, block by block."""
+    rows = sorted(spark.read.parquet(path).collect(), key=lambda r: (r.part, r.block))
+    return [x for r in rows for x in token_files.unpacked(np.frombuffer(r.words, np.uint64), r.n_ids).tolist()]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 60_000), st.integers(2**60, 2**64 - 1)), min_size=1, max_size=900), st.integers(-5, 900), st.integers(0, 900))
+def test_any_stretch_of_a_block(ids, lo, n):
+    x = np.array(ids * 4, np.uint64)
+    words = token_files.packed(x)
+    got = token_files.stretch(words, token_files.offsets(words, len(x)), len(x), lo, lo + n)
+    assert got.tolist() == x[max(lo, 0) : max(lo + n, 0)].tolist()
+
+
 def test_token_files(spark, texts, tmp_path):
     lib = library("byte_bpe_50k.json")
     rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)] + [(None, "no id"), (5000, None), (5000, None), (5000, "again")]
@@ -108,6 +124,10 @@ def test_token_files(spark, texts, tmp_path):
         left[r.doc_id].remove((r.n_tokens, r.ids_crc32))
     whole = {r.doc_id: r.token_ids for r in token_files.read_ids(spark, path).collect()}
     assert whole[7] == [*lib.encode(texts[1], add_special_tokens=False).ids, 2]
+    every = [x for r in got for x in whole_of(spark, path)[r.start : r.start + r.n_tokens]]
+    for lo, hi in ((0, 5), (at // 2, at // 2 + 700), (at - 3, at + 9), (-4, at), (70, 70)):
+        part = [x for r in sorted(token_files.read_range(spark, path, lo, hi).collect()) for x in r.ids]
+        assert part == every[max(lo, 0) : hi]
     token_files.write_tokens(spark, df.limit(0), public("byte_bpe_50k.json"), f"{path}-none")
     assert token_files.read_tokens(spark, f"{path}-none").count() == 0
 
@@ -186,3 +206,20 @@ def test_op6_counts_every_piece_of_spellable_words(spark, texts, tmp_path):
         each = [spelled_out(w, pieces, raw) for w in word_pieces.WORDS.findall(t or "")]
         assert got[i] == (len(each), sum(max(1, n) for n in each), each.count(0)), t
     assert got[0] == (1, 3, 0) and got[1][1] > 63 and got[4][1:] == (9, 0)
+
+
+def test_op3_and_op7_on_whole_tables(spark, small):
+    """Every document of the table against the library."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    lib, tail = library("word_bpe_49k.json"), [2]
+    for r in bpe.op3_bpe(spark, small).collect():
+        ids = lib.encode(docs[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    lib, at = library("byte_bpe_50k.json"), 0
+    got = sorted(token_files.op7_token_files(spark, small).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in got] == sorted(docs)
+    for r in got:
+        ids = np.array(lib.encode(docs[r.doc_id], add_special_tokens=False).ids + tail, "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
