@@ -6,11 +6,12 @@ Each of TREES trees gives a class a string of DEPTH minima. Sorted by range, a t
 a prefix trie: what a string shares with any other it shares with a neighbour, so one pass over
 neighbours tells each class how long a prefix it shares in each tree. Two classes meet in a tree
 if their strings share a prefix of the current length. That length starts at DEPTH and is
-shortened a level at a time; each time only pairs that have not met at a longer prefix are
-verified, in the groups that grew. It ends when the recall is reached: each link of similarity s
-stands for the reciprocal of its chance to meet at this length, and links that are missed by this
-count, with two standard errors to spare, are fewer than the target allows; or at the latest
-where any pair at the threshold meets with the target recall.
+shortened as long as the recall is not reached; each time only pairs that have not met at a longer
+prefix are verified, in the groups that grew. Each link of similarity s stands for the reciprocal
+of its chance to meet at this length; the recall is reached if links that are missed by this
+count, with two standard errors to spare, are fewer than the target allows, and at the latest
+where any pair at the threshold meets with the target recall. The next length is the longest that
+the links found so far let expect to be enough.
 
 Prefix groups with the same members in several trees are one group. Large groups are cut into
 blocks by members and by bytes, and pairs of blocks are the unit of work. A pair of classes is
@@ -35,18 +36,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import bounded_batches, components, discard, fresh, lean, mixed, rows_of, runs, table, whole, written
-from .vocab import Memo
 
-N, THRESHOLD, RECALL = 5, 0.8, 0.995
+N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 20, 8
 LEVEL = 2  # bytes of a minimum in a tree's string; two that agree in them by chance only make a candidate
 BINS = 20  # of similarities of links, from the threshold to 1
 BLOCK = 1024
 BLOCK_BYTES = 8 << 20
 _WORD = re.compile(r"\w+")
-_WORDS = Memo(lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SCALES = np.random.default_rng(11).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -56,7 +56,7 @@ def shingles(text: str, n: int = N) -> np.ndarray:
     words = _WORD.findall(text.lower())
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(n, len(w))
     out = np.full(len(w) - n + 1, n, np.uint64)
     for j in range(n):
@@ -97,6 +97,13 @@ def enough(bins: np.ndarray, depth: int, threshold: float, recall: float) -> boo
     return bins.sum() > 0 and bins.sum() / (bins.sum() + missed + 2 * spread + 1 / met(threshold, depth)) >= recall
 
 
+def shortened(bins: np.ndarray, depth: int, threshold: float, recall: float) -> int:
+    """The next shorter prefix: the longest at which as many links as those found stand for should be enough."""
+    at = np.linspace(threshold, 1, len(bins), endpoint=False)
+    whole_ = bins / met(at, depth)
+    return next((d for d in range(depth - 1, 1, -1) if enough(whole_ * met(at, d), d, threshold, recall)), 1)
+
+
 def _signed(n: int):
     def run(batches):
         for b in batches:
@@ -278,10 +285,10 @@ def _verified(threshold: float, n: int):
     return run
 
 
-def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame, tries: DataFrame, depth: int, threshold: float, n: int, block: int) -> DataFrame:
-    """Links of classes, by block, between those that share a prefix of `depth` levels in some tree and no longer one in any."""
+def _links(spark: SparkSession, rows: DataFrame, classes: DataFrame, tries: DataFrame, depth: int, before: int, threshold: float, n: int, block: int) -> DataFrame:
+    """Links of classes, by block, between those that share a prefix of `depth` levels in some tree and none of `before` levels in any."""
     prefix = lambda d: F.xxhash64("tree", F.substring("s", 1, d * LEVEL))
-    member = tries.where(F.col("deepest") >= depth).select("class", "size", "tree", prefix(depth).alias("key"), F.when(F.col("deepest") > depth, prefix(depth + 1)).otherwise(0).alias("longer"))
+    member = tries.where(F.col("deepest") >= depth).select("class", "size", "tree", prefix(depth).alias("key"), F.when(F.col("deepest") >= before, prefix(before)).otherwise(0).alias("longer"))
     child = F.when(F.col("longer") == 0, F.xxhash64("class")).otherwise(F.col("longer"))
     groups = member.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("of"), F.min(child).alias("least"), F.max(child).alias("most"))
     groups = groups.where("n > 1 and least <> most")  # else all its pairs have met before
@@ -311,16 +318,16 @@ def forest(spark: SparkSession, rows: DataFrame, threshold: float, recall: float
     signed = written(spark, rows.withColumn("size", F.octet_length("text").cast("long")).mapInArrow(lean(_signed(n)), "doc_id long, _text long, size long, class binary, forest binary"), "signed")
     classes = signed.where("class is not null").groupBy("class").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "_text")).alias("one"), F.max("size").alias("size"), F.first("forest").alias("forest"))
     tries = trie(spark, classes, first_depth(threshold, recall))
-    depth, links, bins = DEPTH, None, np.zeros(BINS)
+    depth, before, links, bins = DEPTH, DEPTH + 1, None, np.zeros(BINS)
     while True:
-        new = _links(spark, rows, classes, tries, depth, threshold, n, block)
+        new = _links(spark, rows, classes, tries, depth, before, threshold, n, block)
         links = new if links is None else links.unionByName(new)
         found = new.where("class is null").select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BINS numbers
         for r in found:
             bins[r["bin"]] += r["n"]
         if enough(bins, depth, threshold, recall) or depth == 1:
             return signed, links.where("class is not null").drop("bins"), depth
-        depth -= 1
+        depth, before = shortened(bins, depth, threshold, recall), depth
 
 
 def near_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, block: int = BLOCK) -> DataFrame:

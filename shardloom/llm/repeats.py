@@ -53,9 +53,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from .common import bounded_batches, lean, lean_group, mixed, runs, spread, table, whole, width
-from .vocab import Memo
 
 WINDOW = 400
 V = 273
@@ -78,7 +78,6 @@ _BASE = 0x5851F42D4C957F2D
 
 
 _WORD_BYTES = 5
-_WORD = Memo(lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=_WORD_BYTES).digest(), "little"))
 _RUN = re.compile(r"\S+")
 
 
@@ -99,7 +98,7 @@ class Cover(NamedTuple):
         if not self.word:
             return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         words = text.split()
-        return np.fromiter(map(_WORD.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) & np.uint64((1 << 8 * _WORD_BYTES) - 1)
 
     def sampled(self, n: int, end: int, start: int = 0) -> np.ndarray:
         """Sampled positions in [start, end) at which a tuple fits into n units."""

@@ -85,11 +85,19 @@ def test_depth_keeps_recall():
     d = J.first_depth(J.THRESHOLD, J.RECALL)
     assert J.met(J.THRESHOLD, d) >= J.RECALL > J.met(J.THRESHOLD, d + 1)
     high, low = np.zeros(J.BINS), np.zeros(J.BINS)
-    high[-1], low[0] = 10_000, 10_000
+    high[-1], low[0] = 100_000, 100_000
     assert J.enough(high, J.DEPTH, J.THRESHOLD, J.RECALL) and not J.enough(low, J.DEPTH, J.THRESHOLD, J.RECALL)
     assert not J.enough(np.zeros(J.BINS), J.DEPTH, J.THRESHOLD, J.RECALL) and J.enough(low, d, J.THRESHOLD, J.RECALL)
 
 
+def test_the_next_length_is_the_longest_that_should_do():
+    d = J.first_depth(J.THRESHOLD, J.RECALL)
+    low, middle = np.zeros(J.BINS), np.zeros(J.BINS)
+    low[0], middle[J.BINS // 2] = 100_000, 1_000_000
+    assert J.shortened(low, J.DEPTH, J.THRESHOLD, J.RECALL) == d == J.shortened(np.zeros(J.BINS), J.DEPTH, J.THRESHOLD, J.RECALL)
+    assert d < J.shortened(middle, J.DEPTH, J.THRESHOLD, J.RECALL) < J.DEPTH
+
+
 def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
     """Links of one kind each: sure ones are all found at full length, those at the threshold need shorter prefixes."""
     rng = random.Random(14)
@@ -103,8 +111,8 @@ def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
                 other[25 + 50 * k] = "zz"
             texts += [" ".join(own), " ".join(other)]
         rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_text", F.xxhash64("text"))
-        _, links, depth = J.forest(spark, rows, J.THRESHOLD, J.RECALL, J.N, J.BLOCK)
-        assert links.agg(F.sum("links")).first()[0] >= 2 * 400 * J.RECALL - 4
+        _, links, depth = J.forest(spark, rows, J.THRESHOLD, 0.99, J.N, J.BLOCK)
+        assert links.agg(F.sum("links")).first()[0] >= 2 * 400 * 0.99 - 4
         assert depth == J.DEPTH if not edits else depth < J.DEPTH
 
 
