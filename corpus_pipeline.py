@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import bpe, decontaminate, near_join, repeats, toxicity
-from shardloom.llm.common import table, written
+from shardloom.llm.common import discard, table, written
 from shardloom.llm.vocab import public
 
 
@@ -46,5 +46,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(spark, stage(spark, docs, sf_dir), name)
+        docs, before = written(spark, stage(spark, docs, sf_dir), name), docs
+        discard(spark, before)  # what the stage read; the tables themselves stay
     return docs
