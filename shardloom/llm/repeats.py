@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import bounded_batches, lean, lean_group, mixed, runs, spread, table, whole, width
+from .common import bounded_batches, lean, lean_group, mixed, runs, spread, table, whole
 
 WINDOW = 400
 V = 273
@@ -66,6 +66,8 @@ HOT, LOCAL = 4096, 4096
 PIECE = 1 << 20
 #: Bytes of text for each bucket of names or windows; names and pieces that a task holds before it deals them to the buckets.
 BUCKET_BYTES, HELD_NAMES, HELD_PIECES = 32 << 20, 1 << 21, 4
+#: Of buckets at least; a text gives a row to each that holds a name of it, so their number must not follow the session.
+LEAST_BUCKETS = 64
 
 _NAME = np.dtype([("name", "<u4"), ("key", "<i8"), ("pos", "<u4")])
 _HEAD = np.dtype([("name", "<u8"), ("key", "<i8"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2")])
@@ -519,7 +521,7 @@ def repeated(spark: SparkSession, docs: DataFrame, text: str = "text", hot: int
     """docs with _key, _copies (rows with the same text) and _spans (of the next cover _spans1): ranges of starts of windows that occur elsewhere."""
     bounded_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(width(spark), -(-size // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     rows = docs.drop("_copies", *spans_of(covers)).withColumn(text, whole(text)).withColumn("_key", F.xxhash64(text))
     marks = rows.groupBy("_key").agg(F.count("*").alias("_copies")).where("_copies > 1")
     for said, cover in zip(spans_of(covers), covers, strict=True):
